@@ -1,0 +1 @@
+"""The engine's operators are batch operators; nothing in its scope is a stream, so this package holds no code."""
