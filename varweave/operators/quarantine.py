@@ -59,7 +59,7 @@ def strict_fields(line: str) -> list[str] | None:
 
 def _parse_block(lines: pa.Array, names: list[str]) -> pa.Table | None:
     """The block as a table of strings if every line is sound, else None."""
-    if lines.null_count or pc.any(pc.match_substring_regex(lines, "[\r\n]")).as_py():
+    if lines.null_count or pc.any(pc.match_substring_regex(lines, "^$|[\r\n]")).as_py():
         return None
     quoted = pc.match_substring(lines, '"')
     if pc.any(quoted).as_py() and not pc.all(pc.match_substring_regex(lines.filter(quoted), _WELL_QUOTED)).as_py():

@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     quoting = r"""'(?s)^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$'"""
     fields = r"""list_transform(regexp_extract_all(',' || raw_line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1),
-              x -> nullif(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ''))"""
+              lambda x: nullif(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ''))"""
     checked = f"""
         WITH l AS (SELECT line_id, raw_line, regexp_full_match(raw_line, {quoting}) AS sound FROM bad_1),
         f AS (SELECT line_id, sound, CASE WHEN sound THEN {fields} END AS x FROM l),
