@@ -11,6 +11,7 @@ from varweave.llm import oracles
 from varweave.llm.grouping import connected_groups
 from varweave.llm.leakage import leaked_documents
 from varweave.llm.near_duplicates import near_duplicate_pairs, sv_type
+from varweave.llm.packing import pack_documents
 from varweave.llm.survivors import criteria_worth, merged_records, sequence_worth, surviving_values
 from varweave.session import read
 
@@ -48,13 +49,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("key").alias("row_key"), F.col("group").alias("new_row_key"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every token of every document goes: container, document, part, first token, tokens."""
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
     return leaked_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_merged, p4_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_merged, p4_found, p7_packed, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
