@@ -64,6 +64,10 @@ BITS = 16
 SWITCH = 5.0
 #: Characters a stretch must have to be reported.
 MIN_STRETCH = 200
+#: Confidence below which a stretch is taken for comments or prose.
+MIN_CONFIDENCE = 0.75
+#: Prose is the main language only if clear code comes to less than this share of it.
+CODE_SHARE = 0.1
 #: Pieces into which longer lines are cut, since a minified file is one line.
 PIECE = 240
 SLICE_CHARS = 1_500_000
@@ -334,29 +338,34 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
             mean = scores[s : s + n][filled[s : s + n]].mean(axis=0)
             out.append((LANGUAGES[lead[i]], _confidence(mean, int(lead[i])), []))
             continue
-        path, size = paths[i], np.where(filled[s : s + n], chars[s : s + n], 0)
-        amount = np.bincount(path, weights=size, minlength=len(LANGUAGES))
-        # Prose beside markdown is markdown's.
+        here, has, size = scores[s : s + n], filled[s : s + n], np.where(filled[s : s + n], chars[s : s + n], 0)
+        path = paths[i]
+        cuts = np.r_[0, np.flatnonzero(np.diff(path)) + 1, n]
+        runs = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            held = a + np.flatnonzero(has[a:b])
+            if len(held):
+                lang = int(path[a])
+                runs.append((lang, held, _confidence(here[held].mean(axis=0), lang)))
+        # Comments and prose speak for no language clearly; runs of them go with the main one.
+        clear = [r for r in runs if r[2] >= MIN_CONFIDENCE and r[0] not in prose] or runs
+        amount = np.zeros(len(LANGUAGES))
+        for lang, held, _ in clear:
+            amount[lang] += size[held].sum()
+        aside = sum(size[held].sum() for lang, held, _ in runs if lang in prose)
         if amount[markdown]:
-            for p in prose:
-                amount[markdown] += amount[p]
-                amount[p] = 0
+            amount[markdown] += aside
         main = int(amount.argmax())
-        mine = filled[s : s + n] & ((path == main) | np.isin(path, list(prose)))
-        mean = scores[s : s + n][mine].mean(axis=0) if mine.any() else scores[s : s + n].mean(axis=0)
-        cuts = np.r_[0, np.flatnonzero(np.diff(path)) + 1, n]
+        if amount[main] < CODE_SHARE * aside and not amount[markdown] and clear is not runs:
+            main = LANGUAGES.index(PROSE[0])
+        mine = np.concatenate([held for lang, held, _ in runs if lang == main] or [np.flatnonzero(has)])
+        mean = here[mine].mean(axis=0)
         stretches = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            lang = int(path[a])
-            if lang == main or lang in prose:
-                continue
-            held = np.flatnonzero(filled[s + a : s + b])
-            if not len(held):
-                continue
-            length = int(chars[s + a + held[0] : s + a + held[-1] + 1].sum()) - 1
-            if length >= MIN_STRETCH:
-                part = scores[s + a : s + b][held]
-                stretches.append((LANGUAGES[lang], a + int(held[0]), length, _confidence(part.mean(axis=0), lang)))
+        for lang, held, sure in clear:
+            if lang != main and lang not in prose and sure >= MIN_CONFIDENCE:
+                length = int(chars[s + held[0] : s + held[-1] + 1].sum()) - 1
+                if length >= MIN_STRETCH:
+                    stretches.append((LANGUAGES[lang], int(held[0]), length, sure))
         out.append((LANGUAGES[main], _confidence(mean, main), stretches))
     return out
 

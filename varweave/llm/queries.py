@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varweave.llm import oracles
 from varweave.llm.grouping import connected_groups
+from varweave.llm.languages import document_languages, language_findings
 from varweave.llm.leakage import leaked_documents
 from varweave.llm.near_duplicates import near_duplicate_pairs, sv_type
 from varweave.llm.packing import pack_documents
@@ -59,8 +60,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong, and stretches of other languages."""
+    return language_findings(document_languages(read(spark, sf_dir, "documents")))
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and stretch with its language and confidence."""
+    return document_languages(read(spark, sf_dir, "documents")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_merged, p4_found, p7_packed, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_merged, p4_found, p7_packed, p8_found, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
