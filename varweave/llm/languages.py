@@ -12,6 +12,7 @@ The classifiers are fitted on a bounded sample of documents whose label and file
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -61,7 +62,7 @@ WINDOWS_PER_DOC, WINDOW_LINES = 12, 6
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-5
 BITS = 16
 #: Cost of a change of language between two lines, in units of a line's score.
-SWITCH = 5.0
+SWITCH = 3.5
 #: Characters a stretch must have to be reported.
 MIN_STRETCH = 200
 #: Confidence below which a stretch is taken for comments or prose.
@@ -254,6 +255,25 @@ def line_scores(lines: list[str], w: np.ndarray) -> np.ndarray:
     return scores
 
 
+#: A run of words with no more than sentence punctuation, after a comment or quotation mark or none.
+_SENTENCE = re.compile(r"""\s*([/*#<!\-"'`>;%]*)\s*((?:[\w,.;:'’-]+ +){3,}[\w,.;:'’-]+)\s*(?:["'`]?\s*[+\\,;]*|\*+/)\s*\Z""")
+_CODE_MARK = re.compile(r"[=(){}\[\]<>$&|@_]")
+#: A sentence says nothing of a programming language, and little of the kind of prose.
+_SENTENCE_WEIGHTS = np.array([0.3 if x in ("markdown", "text") else 0.0 for x in LANGUAGES], np.float32)
+
+
+def is_sentence(line: str) -> bool:
+    """Whether a line is prose or a comment in words: mostly small letters, five words, or four behind a mark."""
+    if len(line) < 12 or _CODE_MARK.search(line):
+        return False
+    m = _SENTENCE.match(line)
+    if m is None:
+        return False
+    words = m[2].split()
+    small = sum(x[0].islower() for x in words)
+    return len(words) >= (4 if m[1] else 5) and small >= 0.6 * len(words)
+
+
 def _paths(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """The best sequence of languages for the lines of several documents, all advanced line by line together."""
     order = np.argsort(-counts, kind="stable")
@@ -313,9 +333,11 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
         ids += [seen.setdefault(x, len(seen)) for x in lines]
     unique = list(seen)
     per_unique = line_scores(unique, w)
+    sentences = np.fromiter((is_sentence(x) for x in unique), bool, len(unique))
+    per_unique[sentences] *= _SENTENCE_WEIGHTS
     chars_unique = np.array([len(x) + 1 for x in unique], np.int64)
     ids_a = np.array(ids)
-    scores, chars = per_unique[ids_a], chars_unique[ids_a]
+    scores, chars, said = per_unique[ids_a], chars_unique[ids_a], sentences[ids_a]
     begins = np.r_[0, np.cumsum(counts)[:-1]]
     filled = chars > 1
     total = np.add.reduceat(scores * np.minimum(chars, PIECE)[:, None], begins, axis=0)
@@ -347,21 +369,26 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
             if len(held):
                 lang = int(path[a])
                 runs.append((lang, held, _confidence(here[held].mean(axis=0), lang)))
-        # Comments and prose speak for no language clearly; runs of them go with the main one.
-        clear = [r for r in runs if r[2] >= MIN_CONFIDENCE and r[0] not in prose] or runs
+        # Only what is no sentence speaks for a language of code; sentences count for the kinds of prose.
+        spoken = np.where(said[s : s + n], 0, size)
         amount = np.zeros(len(LANGUAGES))
-        for lang, held, _ in clear:
-            amount[lang] += size[held].sum()
-        aside = sum(size[held].sum() for lang, held, _ in runs if lang in prose)
+        aside = 0
+        for lang, held, sure in runs:
+            if lang in prose:
+                aside += size[held].sum()
+            else:
+                code, every = spoken[held].sum(), size[held].sum()
+                # Comments among code belong to it; a run of little else than sentences counts without them.
+                amount[lang] += (every if lang == markdown or code >= 0.3 * every else code) * min(1.0, sure / MIN_CONFIDENCE)
         if amount[markdown]:
             amount[markdown] += aside
         main = int(amount.argmax())
-        if amount[main] < CODE_SHARE * aside and not amount[markdown] and clear is not runs:
+        if amount[main] <= CODE_SHARE * aside and not amount[markdown]:
             main = LANGUAGES.index(PROSE[0])
         mine = np.concatenate([held for lang, held, _ in runs if lang == main] or [np.flatnonzero(has)])
         mean = here[mine].mean(axis=0)
         stretches = []
-        for lang, held, sure in clear:
+        for lang, held, sure in runs:
             if lang != main and lang not in prose and sure >= MIN_CONFIDENCE:
                 length = int(chars[s + held[0] : s + held[-1] + 1].sum()) - 1
                 if length >= MIN_STRETCH:
