@@ -6,7 +6,7 @@ from varweave.llm.hashing import gram_hashes, plain_words, word_hashes
 from varweave.llm.leakage import ItemIndex, holds_passage, leaked_documents, leaked_in, smith_waterman
 
 RNG = random.Random(12)
-VOCABULARY = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+VOCABULARY = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
 
 
 def words(n):
@@ -27,17 +27,20 @@ def edited(passage, edits):
     return out
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+def least_edits(pattern, text):
+    """The fewest edits between the pattern and any part of the text, cell by cell."""
+    column = list(range(len(pattern) + 1))
+    best = column[-1]
+    for word in text:
+        diagonal, column[0] = column[0], 0
+        for i, x in enumerate(pattern, 1):
+            diagonal, column[i] = column[i], min(diagonal + (x != word), column[i] + 1, column[i - 1] + 1)
+        best = min(best, column[-1])
+    return best
 
 
 def slow(item, doc):
-    return any(distance(item[s : s + 30], doc[t : t + n]) <= 3 for s in range(len(item) - 29) for n in range(27, 34) for t in range(max(1, len(doc) - n + 1)))
+    return any(least_edits(item[s : s + 30], doc) <= 3 for s in range(len(item) - 29))
 
 
 def test_edits_of_every_kind():
@@ -45,14 +48,14 @@ def test_edits_of_every_kind():
     items[1][:9] = items[0][:9]
     index = ItemIndex(list(range(12)), [" ".join(i) for i in items])
     texts, want = [], set()
-    for n in range(120):
+    for n in range(80):
         i = RNG.randrange(12)
         s = RNG.randrange(51)
         k = RNG.choice([0, 1, 2, 3, 3, 4, 5, 6])
         doc = words(RNG.randrange(30)) + edited(items[i][s : s + 30], k) + words(RNG.randrange(30))
         texts.append(RNG.choice([" ", "\n  ", "_-", '", "']).join(w.upper() if n % 3 == 0 else w for w in doc))
-        want |= {(n, j) for j in range(12) if len(set(items[j]) & set(doc)) > 15 and slow(items[j], doc)}
-    assert set(leaked_in(index, texts)) == want and len(want) > 50
+        want |= {(n, j) for j in range(12) if len(set(items[j]) & set(doc)) > 18 and slow(items[j], doc)}
+    assert set(leaked_in(index, texts)) == want and len(want) > 30
 
 
 def test_parts():
