@@ -157,3 +157,103 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
 
 _COLUMNS = [c.strip().split(" ")[0] for c in _SCHEMA.split(",")]
+
+
+_TABLE_SCHEMA = "file_id long, series string, section string, field string, declared string, number string, type string, value string, open boolean, pid int, edge string, header string"
+_TABLE_COLUMNS = [c.strip().split(" ")[0] for c in _TABLE_SCHEMA.split(",")]
+_TABLE = ["file_id", "series", "section", "field", "declared", "number", "type", "value"]
+
+#: Section and ID in a file → (section, ID under which the field first appeared).
+Names = dict[tuple[str, str], tuple[str, str]]
+
+
+def follow(names: Names, old: Tree, now: Tree) -> Names:
+    """First names of the later tree's fields, from those of the earlier one's and the script between them."""
+    renamed = {(s, f): was for s, f, change, was in edit_script(old, now) if change == "renamed"}
+    out: Names = {}
+    for section in SECTIONS:
+        for field in now[section]:
+            source = (section, renamed[section, field]) if (section, field) in renamed else (section, field)
+            out[section, field] = names.get(source, (section, field)) if source[1] in old[section] else (section, field)
+    return out
+
+
+def consistent_table(files: DataFrame) -> DataFrame:
+    """One row for each file and declared field, with the field's name as the series first had it.
+
+    The edit scripts of a series are compiled into a projection for each of its files: ``field`` is the first name, ``declared``
+    the file's own, ``number`` and ``type`` as declared (type in lower case), ``value`` what the file's first record gives
+    an INFO field (empty for a flag, null if absent). Order, repeats and null or empty headers are treated as in
+    ``schema_changes``. Rows are range-partitioned; the names at the borders of partitions, a header each, are chained on
+    the driver.
+    """
+    chosen = files.select("file_id", "series", "written_at", "header", "first_info").filter(
+        F.col("series").isNotNull() & F.col("file_id").isNotNull() & (F.length(F.trim("header")) > 0)
+    )
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        series, tree, names, file_id = None, None, {}, None
+        first_series, opening, first, last = None, set(), None, None
+        for batch in batches:
+            rows = []
+            for fid, ser, header, info in zip(batch["file_id"], batch["series"], batch["header"], batch["first_info"]):
+                now = parse_header(header)
+                if now is None or (fid == file_id and ser == series):
+                    continue
+                if ser == series:
+                    names = follow(names, tree, now)
+                else:
+                    names = {(s, f): (s, f) for s in SECTIONS for f in now[s]}
+                if first is None:
+                    first_series, opening = ser, set(names)
+                    first = (fid, ser, None, None, None, None, None, None, None, pid, "first", header)
+                    rows.append(first)
+                series, tree, file_id = ser, now, fid
+                is_open = ser == first_series
+                values = dict(x.split("=", 1) if "=" in x else (x, "") for x in (info or "").split(";") if x)
+                for (section, declared), (_, field) in names.items():
+                    number, kind, _ = now[section][declared]
+                    value = values.get(declared) if section == "INFO" else None
+                    rows.append((fid, ser, section, field, declared, number, kind, value, is_open and (section, field) in opening, pid, None, None))
+                last = (fid, ser, None, None, None, None, None, None, is_open, pid, "last", header)
+            yield pd.DataFrame(rows, columns=_TABLE_COLUMNS)
+        if last is not None:
+            # The names at the end of the partition travel with its last header.
+            ends = [(last[0], last[1], s, f, d, None, None, None, last[8] and (s, f) in opening, pid, "name", None) for (s, d), (_, f) in names.items()]
+            yield pd.DataFrame([last, *ends], columns=_TABLE_COLUMNS)
+
+    from varweave.session import cut
+
+    scanned = cut(chosen.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED).mapInPandas(scan, _TABLE_SCHEMA))
+    # A header and its fields for each border of two partitions.
+    borders: dict[int, dict] = {}
+    for r in scanned.filter(F.col("edge").isNotNull()).collect():
+        b = borders.setdefault(r["pid"], {"names": []})
+        if r["edge"] == "name":
+            b["names"].append(r)
+        else:
+            b[r["edge"]] = r
+    moved: list[tuple[int, str, str, str]] = []
+    before: Names = {}
+    previous = None
+    for pid in sorted(borders):
+        b = borders[pid]
+        start: Names = {}
+        if previous is not None and previous["last"]["series"] == b["first"]["series"]:
+            old, now = parse_header(previous["last"]["header"]), parse_header(b["first"]["header"])
+            start = {k: v for k, v in follow(before, old, now).items() if k != v}
+        moved += [(pid, s, f, name[1]) for (s, f), name in start.items()]
+        end: Names = {}
+        for r in b["names"]:
+            key = (r["section"], r["field"])
+            end[r["section"], r["declared"]] = start.get(key, key) if r["open"] else key
+        before, previous = end, b
+    rows = scanned.filter(F.col("edge").isNull())
+    if moved:
+        spark = files.sparkSession
+        known = spark.createDataFrame(moved, "pid int, section string, field string, __first string")
+        rows = rows.join(known.withColumn("open", F.lit(True)), ["pid", "section", "field", "open"], "left").withColumn("field", F.coalesce("__first", "field"))
+    return rows.select(*_TABLE).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varweave.operators.eager import eager_join_aggregate, heavy_keys
 from varweave.operators.quarantine import load_variant_lines, valid_variants
-from varweave.operators.schema_drift import schema_changes
+from varweave.operators.schema_drift import consistent_table, schema_changes
 from varweave.session import read
 
 HEAVY_SHARE = 0.04
@@ -31,6 +31,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(read(spark, sf_dir, "vcf_reader")).select("file_id", "section", "field", "change").distinct()
 
 
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files' fields under the names their series first had."""
+    return consistent_table(read(spark, sf_dir, "vcf_reader"))
+
+
 def _key_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     approx, contigs = read(spark, sf_dir, "approx"), read(spark, sf_dir, "contigs")
     return eager_join_aggregate(
@@ -69,7 +74,7 @@ def p6_joined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p6_found, p6_key_results, p6_joined_pairs)}
+    return {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_table, p6_found, p6_key_results, p6_joined_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
