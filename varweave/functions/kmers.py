@@ -69,11 +69,11 @@ def kmer_lists(df: DataFrame, seq: str, k: int, reverse: bool = False) -> DataFr
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("kmers", T.ArrayType(T.LongType()))]))
 
 
-def kmer_counts(df: DataFrame, name: str, seq: str, k: int, strands: str = "+") -> DataFrame:
+def kmer_counts(df: DataFrame, name: str, seq: str, k: int, strands: str = "+", unique_names: bool = False) -> DataFrame:
     """(name, strand, kmer, count): how often each k-mer occurs on the asked strands ('+', '-' or '+-').
 
-    Counted per sequence where it is read, then over rows of one name. Null names form a group; null and short
-    sequences have no k-mers.
+    Counted per sequence where it is read, then over rows of one name; ``unique_names`` says that no name has two rows, which
+    saves that shuffle. Null names form a group; null and short sequences have no k-mers.
     """
     _check(k)
     kind = dict(df.dtypes)[name]
@@ -102,7 +102,7 @@ def kmer_counts(df: DataFrame, name: str, seq: str, k: int, strands: str = "+")
                 )
 
     some = df.select(F.col(name).alias("name"), F.col(seq).alias("seq")).mapInArrow(run, f"name {kind}, strand string, kmer long, count long")
-    return some.groupBy("name", "strand", "kmer").agg(F.sum("count").alias("count"))
+    return some if unique_names else some.groupBy("name", "strand", "kmer").agg(F.sum("count").alias("count"))
 
 
 def kmer_positions(df: DataFrame, name: str, seq: str, k: int) -> DataFrame:

@@ -34,8 +34,11 @@ STATE = ["vix_ix", "row_id", "row_key", "vix_set", "vix_count", "criteria"]
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant table with its merge state."""
-    return read(spark, sf_dir, "approx").withColumn("kind", X.standard_kind(F.col("kind"))).select(*CORE, *STATE).distinct()
+    """The variant table with its merge state, each record once.
+
+    Repeated deliveries are told by row_id alone, so that columns a query does not use are pruned before the shuffle.
+    """
+    return read(spark, sf_dir, "approx").dropDuplicates(["row_id"]).withColumn("kind", X.standard_kind(F.col("kind"))).select(*CORE, *STATE)
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +61,7 @@ def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(seqs: DataFrame, strands: str = "+") -> DataFrame:
-    return K.kmer_counts(seqs, "name", "sequence", KMER, strands)
+    return K.kmer_counts(seqs, "name", "sequence", KMER, strands, unique_names=True)
 
 
 # Model
@@ -66,7 +69,8 @@ def _counts(seqs: DataFrame, strands: str = "+") -> DataFrame:
 
 def variant_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = variants(spark, sf_dir)
-    return v.select(*CORE, *STATE, encode_row_id(F.col("vix_ix"), F.col("row_num")).alias("encoded"), (file_bit(F.col("vix_ix")) == F.col("vix_set")).alias("bit_agrees"))
+    core = [X.hex_hash(F.col(c)).alias(c) if c == "seq_hash" else c for c in CORE]
+    return v.select(*core, *STATE, encode_row_id(F.col("vix_ix"), F.col("row_num")).alias("encoded"), (file_bit(F.col("vix_ix")) == F.col("vix_set")).alias("bit_agrees"))
 
 
 def union_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,19 +383,19 @@ def _scores(df: DataFrame) -> DataFrame:
 
 
 def feature_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(FE.rank(_index(spark, sf_dir), query_sequences(spark, sf_dir)))
+    return _scores(FE.rank(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True))
 
 
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(FE.find_similar(_index(spark, sf_dir), query_sequences(spark, sf_dir)).drop("place"))
+    return _scores(FE.find_similar(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True).drop("place"))
 
 
 def best_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(FE.best_classification(_index(spark, sf_dir), query_sequences(spark, sf_dir)))
+    return _scores(FE.best_classification(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True))
 
 
 def attach_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = FE.best_classification(_index(spark, sf_dir), query_sequences(spark, sf_dir))
+    classes = FE.best_classification(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True)
     return FE.add_classification(variants(spark, sf_dir), classes).select("row_id", "class", "strand")
 
 

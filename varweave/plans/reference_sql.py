@@ -74,7 +74,7 @@ def _allele(side: str, side2: str, chrom: str, end: str, base: str) -> str:
 
 
 SQL = {
-    "variant_core": f"WITH {V} SELECT *, CAST(vix_ix + 100 * row_num AS BIGINT) AS encoded, vix_set = CASE WHEN vix_ix = 63 THEN -9223372036854775808 ELSE 1::BIGINT << vix_ix END AS bit_agrees FROM v",
+    "variant_core": f"WITH {V} SELECT * REPLACE (lower(printf('%x', seq_hash)) AS seq_hash), CAST(vix_ix + 100 * row_num AS BIGINT) AS encoded, vix_set = CASE WHEN vix_ix = 63 THEN -9223372036854775808 ELSE 1::BIGINT << vix_ix END AS bit_agrees FROM v",
     "union_files": f"""WITH {V} SELECT row_num, chrom_id, start, kind, CAST(vix_ix % 2 AS INTEGER) AS vix_ix, CAST(vix_ix % 2 + 100 * row_num AS BIGINT) AS row_id,
         CAST(vix_ix % 2 + 100 * row_num AS BIGINT) AS row_key, 1::BIGINT << (vix_ix % 2) AS vix_set, 1::INTEGER AS vix_count, NULL::VARCHAR AS criteria FROM v""",
     "contig_check": """WITH f AS (SELECT file_id, regexp_extract_all(header, '##contig=<ID=([^,>]+)', 1) AS names FROM vcf_reader WHERE contains(header, '##contig=<ID='))
