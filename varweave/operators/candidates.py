@@ -17,12 +17,12 @@ from varweave.operators.ranges import band_join
 from varweave.options import MergeOptions
 
 PAIR = [f"{s}_{c}" for s in ("lhs", "rhs") for c in ("row_key", "vix_set", "vix_count")]
-_NEEDED = ["row_id", "row_key", "vix_ix", "vix_set", "vix_count", "chrom_id", "start", "end", "kind", "length", "chrom2_id", "end2", "seq_hash"]
+NEEDED = ["row_id", "row_key", "vix_ix", "vix_set", "vix_count", "chrom_id", "start", "end", "kind", "length", "chrom2_id", "end2", "seq_hash"]
 
 
 def open_groups(table: DataFrame, n_files: int, kind: Column) -> DataFrame:
     """Records of the kind whose group some file has not joined yet."""
-    return table.filter(kind & (F.col("vix_count") < n_files)).select(*_NEEDED)
+    return table.filter(kind & (F.col("vix_count") < n_files)).select(*NEEDED)
 
 
 def _both(df: DataFrame) -> tuple[DataFrame, DataFrame]:

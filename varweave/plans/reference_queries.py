@@ -33,12 +33,15 @@ CORE = ["row_num", "chrom_id", "chrom", "start", "end", "kind", "length", "chrom
 STATE = ["vix_ix", "row_id", "row_key", "vix_set", "vix_count", "criteria"]
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variant table with its merge state, each record once.
+def variants(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The variant table with its merge state, each record once; of it only the named columns, which are pruned to first.
 
-    Repeated deliveries are told by row_id alone, so that columns a query does not use are pruned before the shuffle.
+    Repeated deliveries are told by row_id, where that is asked for.
     """
-    return read(spark, sf_dir, "approx").dropDuplicates(["row_id"]).withColumn("kind", X.standard_kind(F.col("kind"))).select(*CORE, *STATE)
+    columns = columns or [*CORE, *STATE]
+    some = read(spark, sf_dir, "approx").select(*columns)
+    some = some.dropDuplicates(["row_id"]) if "row_id" in columns else some.distinct()
+    return some.withColumn("kind", X.standard_kind(F.col("kind")))
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, sequence): each inserted sequence under the hexadecimal text of its hash."""
-    v = variants(spark, sf_dir).filter((F.col("kind") == "INS") & (F.length("alt_seq") > 0) & F.col("seq_hash").isNotNull())
+    v = variants(spark, sf_dir, ["kind", "alt_seq", "seq_hash"]).filter((F.col("kind") == "INS") & (F.length("alt_seq") > 0) & F.col("seq_hash").isNotNull())
     return v.groupBy(X.hex_hash(F.col("seq_hash")).alias("name")).agg(F.min("alt_seq").alias("sequence"))
 
 
@@ -101,27 +104,27 @@ def kind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_indel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.exact_indel_pairs(variants(spark, sf_dir), N_FILES)
+    return C.exact_indel_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES)
 
 
 def locus_ins_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.locus_ins_pairs(variants(spark, sf_dir), N_FILES, OPTIONS)
+    return C.locus_ins_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES, OPTIONS)
 
 
 def exact_bnd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.exact_bnd_pairs(variants(spark, sf_dir), N_FILES)
+    return C.exact_bnd_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES)
 
 
 def bnd_here_there_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bnd_here_there_pairs(variants(spark, sf_dir), N_FILES, OPTIONS)
+    return C.bnd_here_there_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES, OPTIONS)
 
 
 def bnd_there_here_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.bnd_there_here_pairs(variants(spark, sf_dir), N_FILES, OPTIONS)
+    return C.bnd_there_here_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES, OPTIONS)
 
 
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.near_pairs(variants(spark, sf_dir), N_FILES, OPTIONS)
+    return C.near_pairs(variants(spark, sf_dir, C.NEEDED), N_FILES, OPTIONS)
 
 
 # Ranges
@@ -129,7 +132,7 @@ def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletions and the duplications of the contig whose surroundings, a million bases on either side, they overlap."""
-    v = variants(spark, sf_dir).select("row_id", "chrom_id", "start", "end", "kind")
+    v = variants(spark, sf_dir, ["row_id", "chrom_id", "start", "end", "kind"])
     lhs = X.prefix_cols(v.filter("kind = 'DEL'").drop("kind"), "lhs")
     around = v.filter("kind = 'DUP'").select("row_id", "chrom_id", (F.col("start") - 1_000_000).alias("start"), (F.col("end") + 1_000_000).alias("end"))
     met = R.overlap_join(lhs, X.prefix_cols(around, "rhs"), ["lhs_chrom_id"], ["rhs_chrom_id"], ("lhs_start", "lhs_end"), ("rhs_start", "rhs_end"))
@@ -137,7 +140,7 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = variants(spark, sf_dir)
+    v = variants(spark, sf_dir, ["row_id", "kind", "start"])
     return v.filter("kind = 'BND'").select("row_id", F.col("start").cast("long").alias("x")), v.filter("kind = 'INS'").select(F.col("start").cast("long").alias("place")).distinct()
 
 
