@@ -46,3 +46,14 @@ def test_empty(spark):
 def test_small_cells_shrink_to_forests(spark, monkeypatch):
     names, roots = union_find(np.array([5, 7, 9]), np.array([7, 9, 2]))
     assert dict(zip(names.tolist(), roots.tolist())) == {2: 2, 5: 2, 7: 2, 9: 2}
+
+
+def test_self_pairs_outlive_the_shrink(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "CELL_EDGES", 5)
+    rng = random.Random(3)
+    edges = [(k, k) for k in range(1000, 1100)] + [(1, rng.randrange(2, 200)) for _ in range(200)] + [(300, 300), (300, 301)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "l long, r long").repartition(2)
+    for blocks in (1, 3):
+        got = [tuple(x) for x in connected_groups(df, "l", "r", blocks).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == brute(edges)

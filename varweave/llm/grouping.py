@@ -65,9 +65,9 @@ def _cells(edges: DataFrame, blocks: int) -> DataFrame:
             held += len(u)
             if held > 4 * CELL_EDGES:
                 # Shrink to the forest found so far, which bounds memory by the vertices of the partition.
+                # Roots stay as pairs with themselves: a key paired with itself only has no other row.
                 names, reps = union_find(np.concatenate(held_u), np.concatenate(held_v))
-                off = names != reps
-                held_u, held_v = [names[off]], [reps[off]]
+                held_u, held_v = [names], [reps]
                 held = 0
         if held_u:
             names, reps = union_find(np.concatenate(held_u), np.concatenate(held_v))
