@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from varweave.llm import survivors
 from varweave.llm.survivors import _undominated, criteria_worth, merged_records, sequence_worth, skyline, surviving_values
 
 SCHEMA = "g string, row_id long, vix_ix int, alt_seq string, criteria string, called_at timestamp, length int, field string"
@@ -80,3 +81,28 @@ def test_fields_from_successive_layers(spark):
     out = {r["g"]: r for r in merged_records(spark.createDataFrame(rows, SCHEMA), key(), "g", worths(), ["length", "called_at"], F.col("called_at"), [F.col("vix_ix"), F.col("row_id")]).collect()}
     assert (out["a"]["alt_seq"], out["a"]["criteria"], out["a"]["length"], out["a"]["called_at"], out["a"]["n_layers"]) == ("ACGT", "near", 7, t, 3)
     assert (out["b"]["alt_seq"], out["b"]["length"], out["b"]["n_layers"]) == (None, None, 1)
+
+
+def chains():
+    t = datetime(2024, 1, 1)
+    rows = [("a", i, 0, "ACGT", "near", None, 7 if i == 9 else None, "x") for i in range(10)]
+    rows += [("b", 100 + i, 0, "ACGT", "near", t, 3 if i == 5 else 4 if i == 7 else None, "x") for i in range(12)]
+    return rows + [("c", 200, 0, "AC", None, None, 1, "x"), ("d", 300, 0, None, None, None, None, "x")]
+
+
+@pytest.mark.parametrize("rows_at_once", [3, 100])
+def test_fields_from_the_last_layer(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(survivors, "DEEP_ROWS", rows_at_once)
+    args = [key(), "g", worths(), ["length", "called_at"], F.col("called_at"), [F.col("vix_ix"), F.col("row_id")]]
+    out = merged_records(spark.createDataFrame(chains(), SCHEMA), *args, max_layers=3).collect()
+    assert {r["g"]: (r["length"], r["n_layers"]) for r in out} == {"a": (7, 10), "b": (3, 6), "c": (1, 1), "d": (None, 1)}
+
+
+def test_layer_numbers():
+    x = np.random.default_rng(5).integers(0, 6, (400, 3))
+    left, want, n = np.ones(400, bool), np.zeros(400, int), 0
+    while left.any():
+        beaten = np.array([((x[left] >= r).all(axis=1) & (x[left] > r).any(axis=1)).any() for r in x])
+        want[left & ~beaten] = n
+        left, n = left & beaten, n + 1
+    assert (survivors.layer_numbers(x) == want).all()

@@ -10,6 +10,7 @@ filled from the next dominance layers, peeled one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 CHUNK = 256
 #: Parts into which a group is dealt before its last step.
 SALTS = 16
+#: Members of a group whose layers one task finds at once.
+DEEP_ROWS = 100_000
 
 #: The merge rounds that a criteria text may name.
 ROUNDS = ["exact", "locus", "here", "there", "near"]
@@ -167,6 +170,46 @@ def surviving_values(
     return long.select("__key", "x.field", F.col("x.id").alias(id_col)).filter(F.col(id_col).isNotNull())
 
 
+def layer_numbers(axes: np.ndarray) -> np.ndarray:
+    """The dominance layer of every row, from 0; equal rows share one.
+
+    Rows are taken so that those that dominate come first. A row beaten in one layer is beaten in every earlier one, so
+    its own is found by bisection.
+    """
+    x, back = np.unique(axes, axis=0, return_inverse=True)
+    out = np.zeros(len(x), np.int64)
+    layers: list[np.ndarray] = []
+    sizes: list[int] = []
+    for i in range(len(x) - 1, -1, -1):
+        lo, hi = 0, len(layers)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if (layers[mid][: sizes[mid]] >= x[i]).all(axis=1).any():
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo == len(layers):
+            layers.append(np.empty((1, x.shape[1]), x.dtype))
+            sizes.append(0)
+        elif sizes[lo] == len(layers[lo]):
+            layers[lo] = np.concatenate([layers[lo], np.empty_like(layers[lo])])
+        layers[lo][sizes[lo]] = x[i]
+        sizes[lo] += 1
+        out[i] = lo
+    return out[back.reshape(-1)]
+
+
+def _all_layers(df: DataFrame, key: str, axes: list[str]) -> DataFrame:
+    """The rows with ``__layer``, the layer of each within its key from 0; a key is held by one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.stack([table.column(a).to_numpy() for a in axes], axis=1)
+        return table.append_column("__layer", pa.array(layer_numbers(x)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(key).applyInArrow(run, f"{schema}, __layer long")
+
+
 def merged_records(
     members: DataFrame,
     key: Column,
@@ -183,8 +226,9 @@ def merged_records(
     Fields named in ``worths`` are axes and come from the first layer. Carried fields are no axes: they take the value
     of the policy's first member of layer 1 that has one, and where no member of the layer has one, of layer 2, and
     so on. The policy orders members by the sum of worths, recency, then trust. Layers are peeled only for keys that
-    still lack a carried field which a remaining member has. The result has ``key_name``, the fields, the carried
-    fields and ``n_layers``, the layers used.
+    still lack a carried field which a remaining member has, to the last layer if need be. After ``max_layers`` of them the
+    keys with at most DEEP_ROWS members left get all their layers in one task each; larger ones are peeled on. The
+    result has ``key_name``, the fields, the carried fields and ``n_layers``, the layers used.
     """
     from varweave.session import cut
 
@@ -204,7 +248,7 @@ def merged_records(
     left = cut(rows)
     layer = cut(skyline(left, "__key", axes, salts))
     done = of_layer(layer).withColumn("n_layers", F.lit(1))
-    for n in range(2, max_layers + 1):
+    for n in count(2):
         # Keys that lack a carried field which some member outside the layers so far has.
         done = cut(done)
         lacking = F.lit(False)
@@ -219,6 +263,23 @@ def merged_records(
         left = cut(left.join(wanted, "__key", "left_semi").drop(*[f"__no_{c}" for c in carried]))
         if left.isEmpty():
             break
+        if n > max_layers:
+            small = left.groupBy("__key").count().filter(F.col("count") <= DEEP_ROWS).select("__key")
+            ranked = _all_layers(left.join(small, "__key", "left_semi").drop(*[f"__v_{f}" for f in worths]), "__key", axes)
+            deep = {}
+            for c in carried:
+                has = F.col(f"__v_{c}").isNotNull()
+                deep[f"__m_{c}"] = F.max_by(f"__v_{c}", F.when(has, F.struct(-F.col("__layer"), *order)))
+                deep[f"__n_{c}"] = F.min(F.when(has, F.col("__layer") + n)).cast("int")
+            used = [F.when(F.col(c).isNull(), F.col(f"__n_{c}")) for c in carried]
+            done = cut(
+                done.join(ranked.groupBy("__key").agg(*[v.alias(c) for c, v in deep.items()]), "__key", "left").select(
+                    "__key", *worths, *[F.coalesce(c, f"__m_{c}").alias(c) for c in carried], F.greatest("n_layers", *used).alias("n_layers")
+                )
+            )
+            left = cut(left.join(small, "__key", "left_anti"))
+            if left.isEmpty():
+                break
         layer = cut(skyline(left, "__key", axes, salts))
         more = of_layer(layer).select("__key", *[F.col(c).alias(f"__m_{c}") for c in carried])
         done = done.join(more.withColumn("__more", F.lit(n)), "__key", "left").select(
