@@ -71,3 +71,28 @@ def test_table(spark, data):
     out = L.language_findings(found)
     assert out.filter("doc_id >= 90001").count() == 0 and out.count() == out.distinct().count() > 0
     assert L.document_languages(both.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("one_line", [True, False])
+def test_short_stretches(spark, data, weights, one_line):
+    """Of 200 to 260 characters of code, on one line or on several, most are found in a file of other code."""
+    docs = read(spark, data.replace("0.001", "0.01"), "documents")
+    clean = docs.select("text", L.language_of_label(docs.lang).alias("a"), L.language_of_path(docs.path).alias("b")).filter("a = b AND length(text) BETWEEN 800 AND 4000").orderBy("doc_id").collect()
+    by = {}
+    for r, (lang, _, stretches) in zip(clean, L.classify([r["text"] for r in clean], weights)):
+        if lang == r["a"] and lang not in ("text", "markdown") and not stretches:
+            by.setdefault(lang, []).append(L.split_lines(r["text"]))
+    rng = np.random.default_rng(3)
+    texts, guests = [], []
+    while len(texts) < 100:
+        host, guest = rng.choice(sorted(by), 2, replace=False)
+        lines, source = by[host][rng.integers(len(by[host]))], by[guest][rng.integers(len(by[guest]))]
+        a = int(rng.integers(len(source)))
+        b = next((b for b in range(a + 1, len(source)) if len("\n".join(source[a:b])) >= 200), a)
+        part = " ".join(x.strip() for x in source[a:b]) if one_line else "\n".join(source[a:b])
+        if 200 <= len(part) <= 260 and not any(map(L.is_sentence, source[a:b])):
+            at = int(rng.integers(len(lines) + 1))
+            texts.append("\n".join([*lines[:at], part, *lines[at:]]))
+            guests.append(guest)
+    hits = [guest in [s[0] for s in x[2]] for guest, x in zip(guests, L.classify(texts, weights))]
+    assert np.mean(hits) >= 0.85

@@ -2,8 +2,8 @@
 
 Discrimination is hierarchical: a linear classifier over families of languages comes first, and within a family one
 linear support vector machine per pair of languages. Both work on hashed tokens, neighbouring tokens and line starts of
-single lines. A path of least cost over the lines of a document, where a change of language costs a fixed amount, turns
-the lines' scores into stretches; the language with the most text is the main one, and prose inside a file of code
+single lines. A path of least cost over the lines of a document, where a line counts by its characters and a change of
+language costs a fixed amount, turns the lines' scores into stretches; the language with the most text is the main one, and prose inside a file of code
 belongs to it.
 
 The classifiers are fitted on a bounded sample of documents whose label and file name extension agree
@@ -61,8 +61,10 @@ TRAIN_MAX_CHARS = 20_000
 WINDOWS_PER_DOC, WINDOW_LINES = 12, 6
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-5
 BITS = 16
-#: Cost of a change of language between two lines, in units of a line's score.
+#: Cost of a change of language between two lines, in units of the score of UNIT characters: 200 characters of clear
+#: evidence, on however many lines, outweigh two changes.
 SWITCH = 3.5
+UNIT = 30
 #: Characters a stretch must have to be reported.
 MIN_STRETCH = 200
 #: Confidence below which a stretch is taken for comments or prose.
@@ -347,7 +349,8 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
     other = scores.max(axis=1) - scores[np.arange(len(scores)), leader] > 0.7
     against = np.add.reduceat(np.where(other, chars, 0), begins)
     walk = np.flatnonzero(against >= MIN_STRETCH // 3)
-    paths = dict(zip(walk.tolist(), _paths(scores, begins[walk], counts[walk])))
+    weighed = scores * (chars / UNIT).astype(np.float32)[:, None]
+    paths = dict(zip(walk.tolist(), _paths(weighed, begins[walk], counts[walk])))
     out: list[Found] = []
     prose = {LANGUAGES.index(x) for x in PROSE}
     markdown = LANGUAGES.index("markdown")
@@ -368,7 +371,7 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
             held = a + np.flatnonzero(has[a:b])
             if len(held):
                 lang = int(path[a])
-                runs.append((lang, held, _confidence(here[held].mean(axis=0), lang)))
+                runs.append((lang, held, _confidence(np.average(here[held], axis=0, weights=size[held]), lang)))
         # Only what is no sentence speaks for a language of code; sentences count for the kinds of prose.
         spoken = np.where(said[s : s + n], 0, size)
         amount = np.zeros(len(LANGUAGES))
