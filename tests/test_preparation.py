@@ -1,5 +1,6 @@
 """Quarantine loading, drifting schemas and eager aggregation, with their edge cases."""
 
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -153,6 +154,25 @@ def test_series(spark):
     assert schema_drift.schema_changes(files.limit(0)).count() == 0
 
 
+def test_pairing_is_cheapest_at_every_size():
+    cost = lambda pairs, old, now: sum(schema_drift._attribute_cost(old[a], now[b]) for a, b in pairs)
+    same = {f"F{i}": ("9", "flag", "x") for i in range(6)}
+    old = {"A1": ("1", "integer", "x"), "A2": ("1", "string", "x")} | same
+    now = {"B1": ("1", "float", "x"), "B2": ("2", "integer", "x")} | {f"G{k[1:]}": v for k, v in same.items()}
+    pairs = schema_drift._pair(list(old), list(now), old, now)
+    assert pairs[:2] == [("A1", "B2"), ("A2", "B1")] and cost(pairs, old, now) == 2
+    rng = random.Random(8)
+    for n, m in [(1, 1), (3, 5), (5, 3), (6, 6), (4, 8), (8, 4)] * 4:
+        draw = lambda p, k: {f"{p}{i}": (rng.choice("012"), rng.choice(["integer", "float", "string"]), "x") for i in range(k)}
+        old, now = draw("A", n), draw("B", m)
+        a, b = (old, now) if n <= m else (now, old)
+        best = min(itertools.permutations(sorted(b), len(a)), key=lambda p: cost(zip(sorted(a), p), a, b))
+        want = list(zip(sorted(a), best))
+        assert schema_drift._pair(list(old), list(now), old, now) == (want if n <= m else [(y, x) for x, y in want])
+    old, now = draw("A", 300), draw("B", 280)
+    assert len(schema_drift._pair(list(old), list(now), old, now)) == 280
+
+
 # Eager aggregation
 
 

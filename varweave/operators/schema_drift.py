@@ -10,8 +10,8 @@ across the partition borders.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,23 +48,70 @@ def parse_header(header: str | None) -> Tree | None:
     return tree
 
 
-def _attribute_cost(a: Field, b: Field) -> int:
+def _attribute_cost(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return (a[0] != b[0]) + (a[1] != b[1])
 
 
+def _least_cost(gone: Counter, new: Counter) -> int:
+    """What the cheapest pairing of all of the smaller side costs, the sides being counts by (Number, Type).
+
+    The costs are a metric, so equals are paired first. The others cost one where they share an attribute, as many of
+    them as a maximum flow finds, and two where they do not.
+    """
+    same = gone & new
+    a, free = gone - same, new - same
+    links = {x: [y for y in free if _attribute_cost(x, y) == 1] for x in a}
+    sent: Counter = Counter()
+
+    def push(x: tuple[str, str], most: int, seen: set) -> int:
+        for y in links[x]:
+            if y in seen:
+                continue
+            seen.add(y)
+            if free[y]:
+                n = min(most, free[y])
+                free[y] -= n
+                sent[x, y] += n
+                return n
+            for z in a:
+                if z != x and sent[z, y]:
+                    n = push(z, min(most, sent[z, y]), seen)
+                    if n:
+                        sent[z, y] -= n
+                        sent[x, y] += n
+                        return n
+        return 0
+
+    ones = 0
+    for x, n in a.items():
+        while n and (more := push(x, n, set())):
+            n -= more
+            ones += more
+    return 2 * (min(gone.total(), new.total()) - same.total()) - ones
+
+
 def _pair(gone: list[str], new: list[str], old: dict[str, Field], now: dict[str, Field]) -> list[tuple[str, str]]:
-    """The cheapest pairing of two small sets of IDs with one description, ties by name."""
+    """The cheapest pairing of two sets of IDs with one description, ties by name."""
     gone, new = sorted(gone), sorted(new)
     if len(gone) > len(new):
         return [(b, a) for a, b in _pair(new, gone, now, old)]
-    if len(new) <= 7:
-        best = min(permutations(new, len(gone)), key=lambda p: sum(_attribute_cost(old[a], now[b]) for a, b in zip(gone, p)))
-        return list(zip(gone, best))
-    pairs, left = [], list(new)
+    left_gone, left_new = Counter(old[a][:2] for a in gone), Counter(now[b][:2] for b in new)
+    least = _least_cost(left_gone, left_new)
+    # IDs of one Number and Type are alike; of each such kind the first name comes first.
+    kinds: dict[tuple[str, str], list[str]] = {}
+    for b in reversed(new):
+        kinds.setdefault(now[b][:2], []).append(b)
+    pairs = []
     for a in gone:
-        b = min(left, key=lambda x: (_attribute_cost(old[a], now[x]), x))
-        left.remove(b)
-        pairs.append((a, b))
+        left_gone[old[a][:2]] -= 1
+        for kind in sorted((k for k in kinds if kinds[k]), key=lambda k: kinds[k][-1]):
+            left_new[kind] -= 1
+            rest = least - _attribute_cost(old[a], kind)
+            if rest >= 0 and _least_cost(left_gone, left_new) == rest:
+                pairs.append((a, kinds[kind].pop()))
+                least = rest
+                break
+            left_new[kind] += 1
     return pairs
 
 
