@@ -96,3 +96,24 @@ def test_short_stretches(spark, data, weights, one_line):
             guests.append(guest)
     hits = [guest in [s[0] for s in x[2]] for guest, x in zip(guests, L.classify(texts, weights))]
     assert np.mean(hits) >= 0.85
+
+
+def test_weak_stretches_keep_their_confidence(spark, data):
+    docs = read(spark, data.replace("0.001", "0.01"), "documents")
+    found = L.document_languages(docs).cache()
+    weak = found.filter((found.part == "stretch") & (found.confidence < L.MIN_CONFIDENCE))
+    assert weak.count() > 0 and weak.filter("n_chars < 200").count() == 0
+    strong = found.filter((found.part == "stretch") & (found.confidence >= L.MIN_CONFIDENCE)).select("doc_id", "lang").distinct()
+    segments = L.language_findings(found).filter("finding = 'segment'").select("doc_id", "lang")
+    assert sorted(map(tuple, segments.collect())) == sorted(map(tuple, strong.collect()))
+
+
+def test_scattered_evidence_is_walked(weights):
+    """Lines that each lean to another language by less than 0.7 are enough for a document to be searched."""
+    text = "\n".join(["x"] * 40 + ["y"] * 40)
+    scores = np.zeros((2, len(L.LANGUAGES)), np.float32)
+    scores[0, 0], scores[1, 1], scores[1, 0] = 1.5, 1.0, 0.4
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "line_scores", lambda lines, w: np.repeat(scores[[0 if x[0] == "x" else 1 for x in lines]], 1, axis=0))
+        (lang, _, stretches), = L.classify([text.replace("x", "x" * 50).replace("y", "y" * 50)], weights)
+    assert lang == L.LANGUAGES[0] and [s[0] for s in stretches] == [L.LANGUAGES[1]]

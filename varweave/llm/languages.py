@@ -67,7 +67,7 @@ SWITCH = 3.5
 UNIT = 30
 #: Characters a stretch must have to be reported.
 MIN_STRETCH = 200
-#: Confidence below which a stretch is taken for comments or prose.
+#: Confidence below which a stretch is taken for comments or prose, and is no finding.
 MIN_CONFIDENCE = 0.75
 #: Prose is the main language only if clear code comes to less than this share of it.
 CODE_SHARE = 0.1
@@ -321,8 +321,9 @@ def _confidence(score: np.ndarray, of: int) -> float:
 Found = tuple[str | None, float, list[tuple[str, int, int, float]]]
 
 
-def classify(texts: list[str], w: np.ndarray) -> list[Found]:
-    """Of each text: main language, confidence, and stretches (language, first line, characters, confidence).
+def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) -> list[Found]:
+    """Of each text: main language, confidence, and stretches (language, first line, characters, confidence)
+    of at least the confidence ``least``.
 
     A text without a token has no language and confidence 0.
     """
@@ -344,11 +345,10 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
     filled = chars > 1
     total = np.add.reduceat(scores * np.minimum(chars, PIECE)[:, None], begins, axis=0)
     lead = total.argmax(axis=1)
-    # A document is walked line by line only if enough of its lines speak for another language.
+    # A document is walked line by line only if some line speaks for another language; else the path never changes.
     leader = np.repeat(lead, counts)
-    other = scores.max(axis=1) - scores[np.arange(len(scores)), leader] > 0.7
-    against = np.add.reduceat(np.where(other, chars, 0), begins)
-    walk = np.flatnonzero(against >= MIN_STRETCH // 3)
+    other = scores.max(axis=1) - scores[np.arange(len(scores)), leader] > 0
+    walk = np.flatnonzero(np.logical_or.reduceat(other, begins))
     weighed = scores * (chars / UNIT).astype(np.float32)[:, None]
     paths = dict(zip(walk.tolist(), _paths(weighed, begins[walk], counts[walk])))
     out: list[Found] = []
@@ -392,7 +392,7 @@ def classify(texts: list[str], w: np.ndarray) -> list[Found]:
         mean = here[mine].mean(axis=0)
         stretches = []
         for lang, held, sure in runs:
-            if lang != main and lang not in prose and sure >= MIN_CONFIDENCE:
+            if lang != main and lang not in prose and sure >= least:
                 length = int(chars[s + held[0] : s + held[-1] + 1].sum()) - 1
                 if length >= MIN_STRETCH:
                     stretches.append((LANGUAGES[lang], int(held[0]), length, sure))
@@ -424,7 +424,7 @@ def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE
 
 def document_languages(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """(doc_id, part, lang, confidence, first_line, n_chars): part ``main`` for each document, ``stretch`` for each stretch
-    of another language of at least 200 characters; beside them the row's own label as one of the thirteen names.
+    of another language of at least 200 characters, however low its confidence; beside them the row's own label as one of the thirteen names.
 
     A null or empty text has no main language (lang null, confidence 0). Rows without an id are left out. If no row has a
     usable label nothing can be learned, and every language is as good; the first is given with confidence 0.5.
@@ -439,7 +439,7 @@ def document_languages(documents: DataFrame, per_language: int = TRAIN_PER_LANGU
             cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum([len(t) for t in texts]) // SLICE_CHARS]))
             for lo, hi in zip(cuts, [*cuts[1:], len(ids)]):
                 rows = []
-                for i, (lang, sure, stretches) in enumerate(classify(texts[lo:hi], weights.value), lo):
+                for i, (lang, sure, stretches) in enumerate(classify(texts[lo:hi], weights.value, least=0.0), lo):
                     rows.append((ids[i], label[i], "main", lang, sure, 0, len(texts[i])))
                     rows += [(ids[i], label[i], "stretch", *x[:1], x[3], x[1], x[2]) for x in stretches]
                 cols = list(zip(*rows))
@@ -454,10 +454,11 @@ _NAMES = ["doc_id", "label", "part", "lang", "confidence", "first_line", "n_char
 
 
 def language_findings(found: DataFrame) -> DataFrame:
-    """(doc_id, finding, lang): ``label`` where the label is missing or names another language, ``segment`` for each other language."""
+    """(doc_id, finding, lang): ``label`` where the label is missing or names another language, ``segment`` for each other
+    language of a stretch of at least the confidence MIN_CONFIDENCE."""
     main = F.col("part") == "main"
     return (
-        found.filter(F.col("lang").isNotNull() & (~main | ~F.col("label").eqNullSafe(F.col("lang"))))
+        found.filter(F.col("lang").isNotNull() & F.when(main, ~F.col("label").eqNullSafe(F.col("lang"))).otherwise(F.col("confidence") >= MIN_CONFIDENCE))
         .select("doc_id", F.when(main, "label").otherwise("segment").alias("finding"), "lang")
         .distinct()
     )
