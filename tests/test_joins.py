@@ -152,3 +152,9 @@ def test_components(spark):
     got = {r["key"]: r["component"] for r in pair_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {k: find(k) for k in parent}
     assert pair_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_components_that_do_not_settle_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        pair_components(chain, "a", "b", max_rounds=2)

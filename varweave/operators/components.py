@@ -34,6 +34,8 @@ def pair_components(pairs: DataFrame, lhs: str, rhs: str, max_rounds: int = 50)
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("v").alias("key")).unionByName(loops.select(F.col("u").alias("key"))).distinct()
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).unionByName(
         roots.join(edges.select(F.col("u").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
