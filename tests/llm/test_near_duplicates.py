@@ -26,8 +26,8 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("split_rows", [2000, 7])
-def test_as_brute_force(spark, split_rows):
+@pytest.mark.parametrize("split_rows,cells,fine", [(2000, (32, 32, 16), (4, 4, 4)), (40, (8, 8, 4), (3, 3, 3)), (7, (4, 32, 3), (4, 3, 5)), (1, (32, 32, 16), (4, 4, 4))])
+def test_as_brute_force(spark, split_rows, cells, fine):
     rng = random.Random(split_rows)
     rows = []
     for i in range(700):
@@ -37,7 +37,7 @@ def test_as_brute_force(spark, split_rows):
         rows.append((i, rng.randrange(4), rng.choice([1, 2]), rng.choice(["INS", "DEL"]), s, e, n, 1, "x"))
     rows += rows[:50]
     rows += [(None, 1, 1, "INS", 1, 1, 1, 1, "x"), (9001, None, 1, "INS", 1, 1, 1, 1, "x"), (9002, 1, None, "INS", 1, 1, 1, 1, "x"), (9003, 1, 1, None, 1, 1, 1, 1, "x"), (9004, 1, 1, "INS", None, 1, 1, 1, "x")]
-    got = [tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), F.col("kind"), split_rows=split_rows).collect()]
+    got = [tuple(r) for r in near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA), F.col("kind"), cells=cells, fine_cells=fine, split_rows=split_rows, sample=1).collect()]
     assert len(got) == len(set(got)) and sorted(got) == sorted(brute(rows))
 
 
@@ -60,3 +60,13 @@ def test_types(spark):
     rows = [(" ins", "INS"), ("<DEL>", "DEL"), ("INS:ME:LINE", "INS"), ("Duplication", "DUP"), ("INVERSION ", "INV"), ("BND", None), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "k string, want string")
     assert df.filter(~sv_type(F.col("k")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_one_hot_place(spark):
+    """A third of the rows in one place, where the ends lie thick: every pair once, and no task takes most of the work."""
+    rng = random.Random(5)
+    rows = [(i, i % 7, 1, "DEL", 50_000 + rng.randrange(300), 90_000 + rng.randrange(3000), None, 0, "") for i in range(1500)]
+    rows += [(10_000 + i, i % 7, 1, "DEL", rng.randrange(10**7), 2 * 10**7, None, 0, "") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(r) for r in near_duplicate_pairs(df, F.col("kind"), split_rows=64, sample=2).collect()]
+    assert len(got) == len(set(got)) and sorted(got) == sorted(brute(rows))
