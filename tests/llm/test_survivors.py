@@ -90,14 +90,46 @@ def chains():
     return rows + [("c", 200, 0, "AC", None, None, 1, "x"), ("d", 300, 0, None, None, None, None, "x")]
 
 
-@pytest.mark.parametrize("rows_at_once", [3, 100])
-def test_fields_from_the_last_layer(spark, monkeypatch, rows_at_once):
-    monkeypatch.setattr(survivors, "DEEP_ROWS", rows_at_once)
+@pytest.mark.parametrize("deep_rows", [0, 3, 100])
+def test_fields_from_the_last_layer(spark, deep_rows):
     args = [key(), "g", worths(), ["length", "called_at"], F.col("called_at"), [F.col("vix_ix"), F.col("row_id")]]
-    out = merged_records(spark.createDataFrame(chains(), SCHEMA), *args, max_layers=3).collect()
+    out = merged_records(spark.createDataFrame(chains(), SCHEMA), *args, deep_rows=deep_rows).collect()
     assert {r["g"]: (r["length"], r["n_layers"]) for r in out} == {"a": (7, 10), "b": (3, 6), "c": (1, 1), "d": (None, 1)}
 
 
+def test_a_hundred_layers(spark):
+    """One chain of 130 members, of which only the last but 29 has a length; and both ways agree on random groups."""
+    args = [key(), "g", worths(), ["length", "called_at"], F.col("called_at"), [F.col("vix_ix"), F.col("row_id")]]
+    chain = [("a", i, 0, "ACGT", "near", None, 7 if i == 100 else None, "x") for i in range(130)]
+    out = merged_records(spark.createDataFrame(chain, SCHEMA), *args).collect()
+    assert [(r["length"], r["n_layers"]) for r in out] == [(7, 101)]
+    df = spark.createDataFrame(members(500, 0.7, 11), SCHEMA).repartition(3)
+    ways = [sorted(map(tuple, merged_records(df, *args, deep_rows=d).collect()), key=repr) for d in (100_000, 60)]
+    assert ways[0] == ways[1]
+
+
+def test_empty_groups(spark):
+    args = [key(), "g", worths(), ["length"], F.col("called_at"), [F.col("vix_ix"), F.col("row_id")]]
+    assert merged_records(spark.createDataFrame([], SCHEMA), *args).count() == 0
+    assert merged_records(spark.createDataFrame([(None, 1, 1, "A", None, None, 1, "x")], SCHEMA), *args).count() == 0
+
+
+def test_skyline_of_a_large_group():
+    """Six axes without ties, where hundreds are undominated."""
+    x = np.random.default_rng(3).permuted(np.tile(np.arange(6000)[:, None], 6), axis=0)
+    want = np.array([not ((x >= r).all(axis=1) & (x > r).any(axis=1)).any() for r in x])
+    assert (_undominated(np.zeros(6000, int), x) == np.flatnonzero(want)).all() and want.sum() > 500
+    again = np.concatenate([x, x[:300]])
+    assert len(_undominated(np.zeros(6300, int), again)) == want.sum()
+    assert len(_undominated(np.zeros(6300, int), again, ties=True)) == want.sum() + want[:300].sum()
+
+
+def test_trust_is_one_axis(spark):
+    rows = [("a", 5, 1, 9), ("a", 5, 2, 1), ("a", 5, 2, 0), ("a", 4, 2, 5)]
+    df = spark.createDataFrame(rows, "g string, w long, t0 long, t1 long")
+    assert sorted(tuple(r) for r in skyline(df, "g", ["w"], ["t0", "t1"]).collect()) == [("a", 4, 2, 5), ("a", 5, 2, 1)]
+
+
 def test_layer_numbers():
     x = np.random.default_rng(5).integers(0, 6, (400, 3))
     left, want, n = np.ones(400, bool), np.zeros(400, int), 0
