@@ -23,8 +23,8 @@ def brute(edges):
     return {k: find(k) for k in parent}
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 4])
-def test_as_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks,split_rows", [(None, 200_000), (1, 200_000), (4, 50)])
+def test_as_brute_force(spark, blocks, split_rows):
     rng = random.Random(7)
     edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1500)]
     edges += [(9000, rng.randrange(9001, 10000)) for _ in range(800)]
@@ -34,7 +34,7 @@ def test_as_brute_force(spark, blocks):
     edges += [(b, a) for a, b in edges[:300]]
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "l long, r long").repartition(6)
-    got = [tuple(x) for x in connected_groups(df, "l", "r", blocks).collect()]
+    got = [tuple(x) for x in connected_groups(df, "l", "r", blocks, split_rows=split_rows).collect()]
     assert len(got) == len(dict(got)) and dict(got) == brute(edges)
 
 
@@ -57,3 +57,13 @@ def test_self_pairs_outlive_the_shrink(spark, monkeypatch):
     for blocks in (1, 3):
         got = [tuple(x) for x in connected_groups(df, "l", "r", blocks).collect()]
         assert len(got) == len(dict(got)) and dict(got) == brute(edges)
+
+
+def test_union_find_of_shapes():
+    """A long chain in bad order, a star, a tree of random edges."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    chain = rng.permutation(n)
+    for u, v in [(chain[1:], chain[:-1]), (np.zeros(n, int), np.arange(n)), (rng.integers(0, n, 2500), rng.integers(0, n, 2500))]:
+        names, roots = union_find(u, v)
+        assert dict(zip(names.tolist(), roots.tolist())) == brute(list(zip(u.tolist(), v.tolist())))

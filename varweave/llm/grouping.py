@@ -4,7 +4,8 @@ Vertices are hashed into B blocks and an edge goes to the cell (block of one end
 union-find over its own edges and keeps, per vertex, the smallest key it reaches. A vertex lies in one row and one
 column of cells; their representatives are exchanged by taking the smallest, and the others become edges of the next,
 smaller graph. When no edge is left the representatives of the rounds are chained to the final one. A vertex that
-holds a third of all edges spreads over the B cells of its row, and leaves each of them as one representative.
+holds a third of all edges spreads over the B cells of its row, and leaves each of them as one representative; a
+group that holds a third of all records is dealt over parts when its records are given the final representative.
 """
 
 from __future__ import annotations
@@ -17,46 +18,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varweave.operators.skew import SPLIT_ROWS, salted_join
 from varweave.session import cut
 
-#: Edges that one cell should hold; the grid is refined until a cell holds about so many.
+#: Edges that one cell should hold; the grid is as fine as that takes.
 CELL_EDGES = 250_000
-FIRST_BLOCKS, MAX_BLOCKS = 3, 256
+FIRST_BLOCKS = 3
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every vertex of the edges with the smallest vertex of its component."""
+    """Every vertex of the edges with the smallest vertex of its component.
+
+    All edges at once: the larger root of every edge is hung under the smallest root that an edge links it to, the paths
+    are halved until they are flat, and edges within one tree are dropped, until none is left.
+    """
     names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)].tolist(), at[len(u) :].tolist()
-    parent = list(range(len(names)))
-    for x, y in zip(a, b):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        # Names are sorted, so the smaller position is the smaller key.
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    root = np.array(parent, dtype=np.int64)
+    a, b = at[: len(u)], at[len(u) :]
+    parent = np.arange(len(names))
     while True:
-        up = root[root]
-        if (up == root).all():
-            return names, names[root]
-        root = up
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return names, names[parent]
+        # Names are sorted, so the smaller position is the smaller key.
+        a, b = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        np.minimum.at(parent, b, a)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
 
 
 def _cells(edges: DataFrame, blocks: int) -> DataFrame:
     """(v, rep) after a union-find in every cell of the grid."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     laid = edges.select("u", "v", (block("u") * blocks + block("v")).alias("cell"))
-    laid = laid.repartition(min(blocks * blocks, 4096), "cell")
+    # One partition a cell, without collisions.
+    laid = laid.repartitionById(blocks * blocks, F.col("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Cells that share a partition are united in one go: any union of cells is a valid block of edges.
         held_u, held_v, held = [], [], 0
         for batch in batches:
             u, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -76,12 +77,13 @@ def _cells(edges: DataFrame, blocks: int) -> DataFrame:
     return laid.select("u", "v").mapInArrow(run, "v long, rep long")
 
 
-def connected_groups(pairs: DataFrame, lhs: str, rhs: str, blocks: int | None = None, max_rounds: int = 64) -> DataFrame:
+def connected_groups(pairs: DataFrame, lhs: str, rhs: str, blocks: int | None = None, max_rounds: int = 64, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(key, group) of every key in a row with both sides, the group being its smallest linked key.
 
     Rows with a missing side count for nothing. Repeated pairs, either order, and pairs of a key with itself are
     allowed; a key paired with itself only is its own group. An empty table gives no rows. ``blocks`` is the number of
-    vertex blocks; by default it follows the number of pairs.
+    vertex blocks; by default it follows the number of pairs. Groups of more than ``split_rows`` records are dealt over
+    several tasks in the last joins. If the groups do not settle in ``max_rounds`` rounds, an error is raised.
     """
     both = pairs.filter(F.col(lhs).isNotNull() & F.col(rhs).isNotNull()).select(F.col(lhs).cast("long").alias("x"), F.col(rhs).cast("long").alias("y"))
     edges = both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
@@ -89,7 +91,7 @@ def connected_groups(pairs: DataFrame, lhs: str, rhs: str, blocks: int | None =
     level_maps: list[DataFrame] = []
     for turn in range(max_rounds):
         # What one cell may hold ends in one cell; the first round is spread in any case.
-        b = blocks or max(1 if turn else FIRST_BLOCKS, min(MAX_BLOCKS, math.ceil(math.sqrt(n / CELL_EDGES))))
+        b = blocks or max(1 if turn else FIRST_BLOCKS, math.ceil(math.sqrt(n / CELL_EDGES)))
         found = _cells(edges, b)
         # The exchange along rows and columns: the smallest representative of each vertex.
         parents = cut(found.groupBy("v").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("reps")))
@@ -105,6 +107,6 @@ def connected_groups(pairs: DataFrame, lhs: str, rhs: str, blocks: int | None =
     # Later rounds are smaller: chain from the last to the first.
     final = level_maps[-1].select("v", F.col("p").alias("g"))
     for level in reversed(level_maps[:-1]):
-        up = final.select(F.col("v").alias("p"), "g")
-        final = level.join(up, "p", "left").select("v", F.coalesce("g", "p").alias("g"))
+        up = final.select(F.col("v").alias("__p"), "g")
+        final = salted_join(level, up, [("p", "__p")], F.col("v"), "left", split_rows=split_rows).select("v", F.coalesce("g", "p").alias("g"))
     return final.select(F.col("v").alias("key"), F.col("g").alias("group"))
