@@ -97,15 +97,15 @@ def test_nearest_by_brute_force(spark):
     assert sorted(got) == sorted((x, min(ks, key=lambda k: (abs(k - x), k))) for x in xs)
 
 
-def greedy(rows):
-    fold = M.Fold()
+def greedy(rows, lower_wins):
+    fold = M.Fold(lower_wins)
     for lhs, fl, cl, rhs, fr, cr in sorted(set(rows), key=lambda p: (-(p[2] + p[5]), p[0], p[3])):
         fold.offer(lhs, fl, rhs, fr)
     return sorted(fold.updates())
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_merge_updates_as_the_global_fold(spark, one_task):
+@pytest.mark.parametrize("lower_wins", [False, True])
+def test_merge_updates_as_the_global_fold(spark, lower_wins):
     rng = random.Random(3)
     files = {k: 1 << rng.randrange(6) for k in range(60)}
     rows = []
@@ -114,8 +114,8 @@ def test_merge_updates_as_the_global_fold(spark, one_task):
         if files[a] != files[b]:
             rows.append((a, files[a], 1, b, files[b], 1))
     df = spark.createDataFrame(rows, "lhs_row_key long, lhs_vix_set long, lhs_vix_count int, rhs_row_key long, rhs_vix_set long, rhs_vix_count int")
-    got = sorted(tuple(r) for r in M.merge_updates(df, one_task).collect())
-    assert got == greedy(rows)
+    got = sorted(tuple(r) for r in M.merge_updates(df, lower_wins).collect())
+    assert got == greedy(rows, lower_wins)
 
 
 def test_merge_rounds_hold_invariants(spark):
@@ -155,6 +155,6 @@ def test_components(spark):
 
 
 def test_components_that_do_not_settle_raise(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
     with pytest.raises(RuntimeError, match="settle"):
-        pair_components(chain, "a", "b", max_rounds=2)
+        pair_components(chain, "a", "b", max_rounds=1)

@@ -7,7 +7,6 @@ import varweave.plans.training_queries as tr
 from sql_check import connect, rows
 
 CASES = [(m, k) for m in (ref, tr) for k in m.queries()]
-SLOW = {"merge_all_rounds", "merge_group_sizes"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def duck(data):
     return connect(data)
 
 
-@pytest.mark.parametrize("module,name", [pytest.param(m, k, id=k) for m, k in CASES if k not in SLOW])
+@pytest.mark.parametrize("module,name", [pytest.param(m, k, id=k) for m, k in CASES])
 def test_query(spark, data, duck, module, name):
     df = module.queries()[name](spark, data)
     got = df.toPandas()

@@ -13,14 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varweave.functions.exprs import append_criterion
+from varweave.functions.union_find import Fold
 from varweave.operators import candidates as C
 from varweave.operators.components import pair_components
 from varweave.options import MergeOptions
 from varweave.session import cut
 
-#: Pairs that one task folds without being dealt by component.
-ONE_TASK_PAIRS = 200_000
-
 UPDATES = "orig_row_key long, new_row_key long, new_vix_set long, new_vix_count int"
 
 
@@ -29,75 +27,25 @@ def pair_order(pairs: DataFrame) -> DataFrame:
     return pairs.distinct().orderBy((F.col("lhs_vix_count") + F.col("rhs_vix_count")).desc(), "lhs_row_key", "rhs_row_key")
 
 
-class Fold:
-    """A disjoint set of row keys whose sets carry the files they hold."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-        self.rank: dict[int, int] = {}
-        self.files: dict[int, int] = {}
-        self.touched: dict[int, None] = {}
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        root = x
-        while parent.get(root, root) != root:
-            root = parent[root]
-        while x != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    def offer(self, lhs: int, lhs_files: int, rhs: int, rhs_files: int) -> bool:
-        """Unite the two sets unless they are one already or share a file."""
-        x, y = self.find(lhs), self.find(rhs)
-        if x == y:
-            return False
-        fx, fy = self.files.get(x, lhs_files), self.files.get(y, rhs_files)
-        if fx & fy:
-            return False
-        rx, ry = self.rank.get(x, 0), self.rank.get(y, 0)
-        # The higher rank stays root, on a tie the left one.
-        root, other = (y, x) if rx < ry else (x, y)
-        self.parent[other] = root
-        if rx == ry:
-            self.rank[root] = rx + 1
-        self.files.pop(other, None)
-        self.files[root] = fx | fy
-        self.touched[lhs] = self.touched[rhs] = None
-        return True
-
-    def updates(self) -> list[tuple[int, int, int, int]]:
-        out = []
-        for key in self.touched:
-            root = self.find(key)
-            files = self.files[root]
-            out.append((key, root, files, (files & ((1 << 64) - 1)).bit_count()))
-        return out
-
-
-def merge_updates(pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
+def merge_updates(pairs: DataFrame, lower_wins: bool = False) -> DataFrame:
     """What the pairs change: orig_row_key, new_row_key, new_vix_set, new_vix_count for every key of an accepted pair.
 
-    Up to ``one_task`` pairs are folded by one task; more are dealt by connected component. Both give the same groups.
+    Of two sets the one of the higher rank keeps its root; on a tie the left one does, with ``lower_wins`` the one with the lower root.
     """
     pairs = cut(pairs.distinct()).withColumn("fill", F.col("lhs_vix_count") + F.col("rhs_vix_count"))
-    order = [F.col("fill").desc(), "lhs_row_key", "rhs_row_key"]
-    if pairs.count() <= one_task:
-        dealt = pairs.withColumn("component", F.lit(0).cast("long")).repartition(1).sortWithinPartitions(*order)
-    else:
-        parts = pair_components(pairs, "lhs_row_key", "rhs_row_key")
-        dealt = pairs.join(parts.select(F.col("key").alias("lhs_row_key"), "component"), "lhs_row_key")
-        dealt = dealt.repartition("component").sortWithinPartitions("component", *order)
+    parts = pair_components(pairs, "lhs_row_key", "rhs_row_key")
+    dealt = pairs.join(parts.select(F.col("key").alias("lhs_row_key"), "component"), "lhs_row_key")
+    dealt = dealt.repartition("component").sortWithinPartitions("component", F.col("fill").desc(), "lhs_row_key", "rhs_row_key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, at = Fold(), None
+        fold, at = Fold(lower_wins), None
         for batch in batches:
             done: list[tuple[int, int, int, int]] = []
             columns = (batch[c].tolist() for c in ("component", "lhs_row_key", "lhs_vix_set", "rhs_row_key", "rhs_vix_set"))
             for component, lhs, lhs_files, rhs, rhs_files in zip(*columns):
                 if component != at:
                     done += fold.updates()
-                    fold, at = Fold(), component
+                    fold, at = Fold(lower_wins), component
                 fold.offer(lhs, lhs_files, rhs, rhs_files)
             yield pd.DataFrame(done, columns=["orig_row_key", "new_row_key", "new_vix_set", "new_vix_count"])
         yield pd.DataFrame(fold.updates(), columns=["orig_row_key", "new_row_key", "new_vix_set", "new_vix_count"])
@@ -105,9 +53,9 @@ def merge_updates(pairs: DataFrame, one_task: int = ONE_TASK_PAIRS) -> DataFrame
     return dealt.select("component", "lhs_row_key", "lhs_vix_set", "rhs_row_key", "rhs_vix_set").mapInPandas(run, UPDATES)
 
 
-def merge_with(table: DataFrame, pairs: DataFrame, criterion: str) -> DataFrame:
+def merge_with(table: DataFrame, pairs: DataFrame, criterion: str, lower_wins: bool = False) -> DataFrame:
     """The table after folding the pairs: new keys, file sets and counts, and the criterion appended, where a pair was accepted."""
-    updates = merge_updates(pairs)
+    updates = merge_updates(pairs, lower_wins)
     met = table.join(updates, table["row_key"] == updates["orig_row_key"], "left")
     kept = [c for c in table.columns if c not in ("row_key", "vix_set", "vix_count", "criteria")]
     hit = F.col("orig_row_key").isNotNull()

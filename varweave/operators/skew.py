@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 MAX_HOT = 10_000
 #: Rows of one key from which it is split, and rows that each of its parts should come to.
 SPLIT_ROWS = 200_000
+#: One in so many rows is counted, if a hot key has at least SAMPLE_LEAST rows among them.
+SAMPLE, SAMPLE_LEAST = 16, 100
 
 
 def hot_keys(df: DataFrame, key: list[str], split_rows: int = SPLIT_ROWS, most: int = MAX_HOT) -> list[tuple]:
@@ -29,7 +31,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], de
 
     The right side's rows of a hot key are repeated for its parts; the list of hot keys (at most MAX_HOT) is broadcast, so
     neither side is shuffled before it is split. ``how`` is inner or left. The result has all columns of both; their names
-    must differ. Without hot keys it is the plain join.
+    must differ. Without hot keys it is the plain join. Hot keys are told by the rows in one of SAMPLE parts of the hash, which
+    bears on the balance only.
     """
     keys = [a for a, _ in on]
     cond = F.lit(True)
@@ -37,7 +40,8 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], de
         cond = cond & (F.col(a) == F.col(b))
     if where is not None:
         cond = cond & where
-    hot = hot_keys(left, keys, split_rows)
+    sample = SAMPLE if split_rows >= SAMPLE * SAMPLE_LEAST else 1
+    hot = hot_keys(left.filter(F.pmod(F.xxhash64(deal), F.lit(sample)) == 0) if sample > 1 else left, keys, split_rows // sample)
     if not hot:
         return left.join(right, cond, how)
     spark = left.sparkSession
@@ -51,6 +55,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], de
         out = df.join(F.broadcast(known), met, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
         return out.drop(*[f"__h{i}" for i in range(len(names))])
 
-    lhs = parted(left, keys).withColumn("__lpart", F.pmod(F.xxhash64(deal), F.col("__parts"))).drop("__parts")
+    lhs = parted(left, keys).withColumn("__lpart", F.pmod(F.xxhash64(deal, F.lit(1)), F.col("__parts"))).drop("__parts")
     rhs = parted(right, [b for _, b in on]).withColumn("__rpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
     return lhs.join(rhs, cond & (F.col("__lpart") == F.col("__rpart")), how).drop("__lpart", "__rpart")

@@ -168,6 +168,12 @@ def merge_round_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_with(v, C.exact_indel_pairs(v, N_FILES), "exact").select("row_id", "row_key", "vix_set", "vix_count", "criteria")
 
 
+def merge_round_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round with the other rule for ties: of two sets of one rank the lower root stays."""
+    v = variants(spark, sf_dir)
+    return M.merge_with(v, C.exact_indel_pairs(v, N_FILES), "exact", lower_wins=True).select("row_id", "row_key", "vix_set", "vix_count", "criteria")
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_all(variants(spark, sf_dir), N_FILES, OPTIONS)
 
@@ -412,7 +418,7 @@ _ALL = [
     variant_core, union_files_query, contig_check_query, row_key_encode_decode, kind_filter,
     exact_indel_pairs, locus_ins_pairs, exact_bnd_pairs, bnd_here_there_pairs, bnd_there_here_pairs, near_pairs,
     overlap_join, nearest, within,
-    pair_order, merge_round_exact, merge_all_rounds, merge_group_sizes,
+    pair_order, merge_round_exact, merge_round_lower, merge_all_rounds, merge_group_sizes,
     breakend_pairing, primary_row, primary_columns, report_offsets, variant_id_text, variant_id_rep, variant_id,
     criteria_longest, alt_seq_list, qual_max, filter_union, original_ids, merge_difference_summary, occurrence_number,
     breakend_parse, breakend_flip, is_seq, infer_kind, del_end_repair, pmin_pmax, ifelse, criteria_append, length_agrees, base62, seq_digest,

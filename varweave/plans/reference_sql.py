@@ -73,7 +73,80 @@ def _allele(side: str, side2: str, chrom: str, end: str, base: str) -> str:
     return f"CASE WHEN {side} = 'Before' THEN {mate} || '{base}' ELSE '{base}' || {mate} END"
 
 
+def _hex_number(text: str) -> str:
+    return f"list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS UHUGEINT)), lambda a, b: a * 16 + b)"
+
+
+def _short_hash(text: str) -> str:
+    """The first seven base 62 digits of the first 16 bytes of a text's SHA-256."""
+    powers = ", ".join(f"CAST('{62**i}' AS UHUGEINT)" for i in range(21, -1, -1))
+    digits = f"list_transform([{powers}], lambda p: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST(({_hex_number(f'substr(sha256({text}), 1, 32)')}) // p % 62 AS INTEGER) + 1, 1))"
+    return f"left(ltrim(array_to_string({digits}, ''), '0'), 7)"
+
+
+#: The rounds: criterion and the condition of its pairs, over the table as the rounds before left it.
+_ROUNDS = [
+    ("exact", f"""l.chrom_id = r.chrom_id AND l.start = r.start AND l."end" = r."end" AND l.kind = r.kind AND l.length = r.length AND l.kind <> 'BND'
+      AND {_DISJOINT} AND (l.kind <> 'INS' OR l.seq_hash = r.seq_hash)"""),
+    ("locus", f"""l.chrom_id = r.chrom_id AND l.start = r.start AND l."end" = r."end" AND l.kind = 'INS' AND r.kind = 'INS' AND {_DISJOINT}
+      AND ({_LENGTHS.format(a="l.length", b="r.length")})"""),
+    ("exact", f"""l.chrom_id = r.chrom_id AND l.start = r.start AND l."end" = r."end" AND l.kind = 'BND' AND r.kind = 'BND'
+      AND l.chrom2_id = r.chrom2_id AND l.end2 = r.end2 AND {_DISJOINT}"""),
+    *[(name, f"""l.chrom_id = r.chrom_id AND l.chrom2_id = r.chrom2_id AND l.kind = 'BND' AND r.kind = 'BND' AND {_DISJOINT}
+      AND l.row_key <> r.row_key AND abs(l."end" - r."end") < {w} AND abs(l.end2 - r.end2) < {w2}""") for name, w, w2 in (("here", 25, 150), ("there", 150, 25))],
+    ("near", f"""l.chrom_id = r.chrom_id AND l.kind = r.kind AND l.kind <> 'BND' AND l.row_id < r.row_id AND l.vix_count < 64 AND r.vix_count < 64
+      AND l.row_key <> r.row_key AND l.vix_ix <> r.vix_ix AND abs(l.start - r.start) <= 25 AND abs(l."end" - r."end") <= 25
+      AND ({_LENGTHS.format(a="coalesce(l.length, 0)", b="coalesce(r.length, 0)")})"""),
+]
+
+
+def _round(i: int, criterion: str, on: str, lower_wins: bool = False) -> str:
+    """CTEs of one round, from t{i} to t{i+1}: the pairs, their linked groups, and in each the pairs folded in order.
+
+    The state of a fold is a list of sets, each with root, rank, files and members; a pair whose sets are one or share a file
+    leaves it as it is.
+    """
+    tie = "least(x.root, y.root)" if lower_wins else "x.root"
+
+    def find(side: str) -> str:
+        alone = f"{{'root': o.{side}_row_key, 'rank': 0, 'files': o.{side}_vix_set, 'members': [o.{side}_row_key]}}"
+        return f"coalesce(list_filter(f.sets, lambda s: list_contains(s.members, o.{side}_row_key))[1], {alone})"
+
+    merged = """{'root': CASE WHEN x.rank < y.rank THEN y.root WHEN x.rank > y.rank THEN x.root ELSE TIE END, 'rank': CASE WHEN x.rank = y.rank THEN x.rank + 1 ELSE greatest(x.rank, y.rank) END,
+          'files': x.files | y.files, 'members': list_concat(x.members, y.members)}""".replace("TIE", tie)
+    return f"""p{i} AS MATERIALIZED (SELECT DISTINCT {_PAIR} FROM t{i} l JOIN t{i} r ON {on}),
+    e{i} AS MATERIALIZED (SELECT lhs_row_key AS u, rhs_row_key AS v FROM p{i} UNION SELECT rhs_row_key, lhs_row_key FROM p{i}),
+    c{i} AS (SELECT u AS k, u AS g FROM e{i} UNION SELECT e.v, c.g FROM c{i} c JOIN e{i} e ON e.u = c.k WHERE c.g < e.v),
+    k{i} AS MATERIALIZED (SELECT k, min(g) AS g FROM c{i} GROUP BY k),
+    o{i} AS MATERIALIZED (SELECT p.*, g, row_number() OVER (PARTITION BY g ORDER BY lhs_vix_count + rhs_vix_count DESC, lhs_row_key, rhs_row_key) AS n FROM p{i} p JOIN k{i} ON k = lhs_row_key),
+    f{i} AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(root BIGINT, rank INTEGER, files BIGINT, members BIGINT[])[]) AS sets FROM o{i} UNION ALL
+      SELECT g, n, CASE WHEN x.root = y.root OR x.files & y.files <> 0 THEN sets
+        ELSE list_append(list_filter(sets, lambda s: s.root <> x.root AND s.root <> y.root), {merged}) END
+      FROM (SELECT f.g, o.n, f.sets, {find("lhs")} AS x, {find("rhs")} AS y FROM f{i} f JOIN o{i} o ON o.g = f.g AND o.n = f.n + 1)),
+    s{i} AS MATERIALIZED (SELECT unnest(arg_max(sets, n)) AS s FROM f{i} GROUP BY g),
+    u{i} AS MATERIALIZED (SELECT unnest(s.members) AS k, s.root AS root, s.files AS files, CAST(bit_count(s.files) AS INTEGER) AS files_count FROM s{i}),
+    t{i + 1} AS MATERIALIZED (SELECT t.* REPLACE (coalesce(root, row_key) AS row_key, coalesce(files, vix_set) AS vix_set, coalesce(files_count, vix_count) AS vix_count,
+      CASE WHEN root IS NULL THEN criteria WHEN criteria IS NULL OR criteria = '' THEN '{criterion}' ELSE criteria || ',{criterion}' END AS criteria)
+      FROM t{i} t LEFT JOIN u{i} u ON u.k = t.row_key)"""
+
+
+def _merge(rounds: int, lower_wins: bool = False) -> str:
+    steps = ",\n    ".join(_round(i, *r, lower_wins) for i, r in enumerate(_ROUNDS[:rounds]))
+    return f"WITH RECURSIVE {V}, t0 AS MATERIALIZED (SELECT * FROM v),\n    {steps}"
+
+
+_MERGED = "row_id, row_key, vix_set, vix_count, criteria"
+
 SQL = {
+    "merge_round_exact": f"{_merge(1)} SELECT {_MERGED} FROM t1",
+    "merge_round_lower": f"{_merge(1, True)} SELECT {_MERGED} FROM t1",
+    "merge_all_rounds": f"{_merge(6)} SELECT {_MERGED} FROM t6",
+    "merge_group_sizes": f"{_merge(6)}, z AS (SELECT row_key, count(*) AS members FROM t6 GROUP BY row_key) SELECT members, count(*) AS n_groups FROM z GROUP BY members",
+    "base62": f"WITH {V} SELECT row_id, {_short_hash(_VID)} AS vid_hash FROM v",
+    "variant_id": f"""WITH {G}, f AS (SELECT DISTINCT ON (row_key) row_key, kind, {_VID} AS vid FROM g ORDER BY row_key, vix_ix, row_id),
+        n AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY row_key) - 1 AS rep FROM f),
+        i AS (SELECT row_key, concat_ws('_', 'VW', kind, {_short_hash("concat_ws('_', vid, rep)")}) AS variant_id FROM n)
+        SELECT row_id, g.row_key, variant_id FROM g JOIN i ON i.row_key = g.row_key""",
     "variant_core": f"WITH {V} SELECT * REPLACE (lower(printf('%x', seq_hash)) AS seq_hash), CAST(vix_ix + 100 * row_num AS BIGINT) AS encoded, vix_set = CASE WHEN vix_ix = 63 THEN -9223372036854775808 ELSE 1::BIGINT << vix_ix END AS bit_agrees FROM v",
     "union_files": f"""WITH {V} SELECT row_num, chrom_id, start, kind, CAST(vix_ix % 2 AS INTEGER) AS vix_ix, CAST(vix_ix % 2 + 100 * row_num AS BIGINT) AS row_id,
         CAST(vix_ix % 2 + 100 * row_num AS BIGINT) AS row_key, 1::BIGINT << (vix_ix % 2) AS vix_set, 1::INTEGER AS vix_count, NULL::VARCHAR AS criteria FROM v""",
