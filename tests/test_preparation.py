@@ -109,7 +109,7 @@ def declare(section, name, number="1", kind="Integer", said="words"):
 
 def changes(old, new):
     a, b = schema_drift.parse_header("\n".join(old)), schema_drift.parse_header("\n".join(new))
-    return sorted(x[:3] for x in schema_drift.edit_script(a, b))
+    return sorted(x[:3] for x in schema_drift.section_changes(schema_drift.edit_script(a, b)))
 
 
 def test_scripts():
@@ -130,6 +130,49 @@ def test_scripts():
     assert changes([quoted + "\r"], [quoted]) == []
 
 
+def mappings(old, now):
+    """The least cost over all mappings of the old fields to new ones, as the module's costs are defined."""
+    a = [(s, i) for s in schema_drift.SECTIONS for i in old[s]]
+    b = [(s, i) for s in schema_drift.SECTIONS for i in now[s]]
+
+    def cost(x, y):
+        p, q = old[x[0]][x[1]], now[y[0]][y[1]]
+        leaves = (p[0] != q[0]) + (p[1] != q[1])
+        if x[0] != y[0]:
+            return schema_drift.MOVE if x[1] == y[1] and p == q else 1000
+        if x[1] == y[1]:
+            return leaves + (p[2] != q[2])
+        return schema_drift.RENAME + leaves if p[2] == q[2] != "" else 1000
+
+    def least(i, free):
+        if i == len(a):
+            return schema_drift.WHOLE * len(free)
+        best = schema_drift.WHOLE + least(i + 1, free)
+        return min([best] + [cost(a[i], y) + least(i + 1, free - {y}) for y in free if cost(a[i], y) < 1000])
+
+    return least(0, frozenset(b))
+
+
+def test_scripts_cost_least():
+    rng = random.Random(13)
+    tree = lambda: {s: {i: (rng.choice("12"), rng.choice(["integer", "float"]), rng.choice(["x", "y", "z", ""])) for i in rng.sample("ABCDE", rng.randrange(5))} for s in schema_drift.SECTIONS}
+    moved = 0
+    for _ in range(300):
+        old, now = tree(), tree()
+        script = schema_drift.edit_script(old, now)
+        assert schema_drift.script_cost(script, old, now) == mappings(old, now), (old, now)
+        moved += any(e[2] == "moved" for e in script)
+    assert moved > 3
+
+
+def test_moves():
+    a = declare("INFO", "A", said="Some depth")
+    trees = [schema_drift.parse_header(x) for x in (a, a.replace("INFO", "FORMAT"))]
+    script = schema_drift.edit_script(*trees)
+    assert script == [("FORMAT", "A", "moved", "INFO")] and schema_drift.script_cost(script, *trees) == schema_drift.MOVE
+    assert sorted(x[:3] for x in schema_drift.section_changes(script)) == [("FORMAT", "A", "added"), ("INFO", "A", "removed")]
+
+
 def test_series(spark):
     t0 = datetime(2024, 1, 1)
     rng = random.Random(1)
@@ -220,3 +263,30 @@ def test_consistent_table(spark):
     assert len(got) == len(want) and {(r["file_id"], r["declared"]): r["field"] for r in got} == want
     assert all(r["value"] == str(r["file_id"] % 1000) and r["type"] == "integer" for r in got)
     assert schema_drift.consistent_table(files.limit(0)).count() == 0
+
+
+def test_types_that_all_files_share(spark):
+    t0 = datetime(2024, 1, 1)
+    heads = [[declare("INFO", "D", said="depth"), declare("INFO", "F", "0", "Flag", "a flag"), declare("INFO", "S", ".", said="a list")], [declare("INFO", "DP", kind="Float", said="depth"), declare("INFO", "S", ".", said="a list")]]
+    rows = [(1, "s", t0, "\n".join(heads[0]), "D=5;F;S=1,2"), (2, "s", t0 + timedelta(1), "\n".join(heads[1]), "DP=2.5;S=."), (3, "t", t0, heads[0][0], "D=x"), (4, "t", None, None, None)]
+    files = spark.createDataFrame(rows, "file_id long, series string, written_at timestamp, header string, first_info string")
+    table = schema_drift.consistent_table(files)
+    got = {(r["file_id"], r["field"]): (r["declared"], r["common_type"], r["value"], r["value_int"], r["value_float"], r["value_flag"]) for r in table.collect()}
+    assert got == {
+        (1, "D"): ("D", "double", "5", None, 5.0, None), (1, "F"): ("F", "boolean", "", None, None, True), (1, "S"): ("S", "string", "1,2", None, None, None),
+        (2, "D"): ("DP", "double", "2.5", None, 2.5, None), (2, "S"): ("S", "string", ".", None, None, None), (3, "D"): ("D", "bigint", "x", None, None, None),
+    }
+    wide = schema_drift.wide_table(table, 0.6)
+    assert dict(wide.dtypes) == {"file_id": "bigint", "series": "string", "info_D": "double", "info_S": "string"}
+    assert sorted(map(tuple, wide.collect())) == [(1, "s", 5.0, "1,2"), (2, "s", 2.5, "."), (3, "t", None, None)]
+
+
+def test_hot_keys_are_split(spark):
+    from varweave.operators import skew
+
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 100), (None, 101), (9, 102)], "a int, x int")
+    right = spark.createDataFrame([(1, "p"), (1, "q"), (2, "r"), (None, "s")], "b int, y string")
+    assert skew.hot_keys(left, ["a"], 10) == [(1, 5)] and skew.hot_keys(left, ["a"], 1, most=1) == [(1, 50)] and skew.hot_keys(left.limit(0), ["a"]) == []
+    for how in ("inner", "left"):
+        plain = sorted(map(repr, left.join(right, F.col("a") == F.col("b"), how).collect()))
+        assert sorted(map(repr, skew.salted_join(left, right, [("a", "b")], F.col("x"), how, split_rows=10).collect())) == plain

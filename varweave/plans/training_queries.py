@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varweave.operators.eager import eager_join_aggregate, heavy_keys
 from varweave.operators.quarantine import load_variant_lines, valid_variants
-from varweave.operators.schema_drift import consistent_table, schema_changes
+from varweave.operators.schema_drift import consistent_table, schema_changes, wide_table
 from varweave.session import read
 
 HEAVY_SHARE = 0.04
@@ -32,10 +32,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All files' fields under the names their series first had."""
+    """All files' fields under the names their series first had, with the types all its files share."""
     return consistent_table(read(spark, sf_dir, "vcf_reader"))
 
 
+def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a file, one typed column for every INFO field that at least half of the files have."""
+    return wide_table(p5_table(spark, sf_dir))
+
+
 def _key_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     approx, contigs = read(spark, sf_dir, "approx"), read(spark, sf_dir, "contigs")
     return eager_join_aggregate(
@@ -74,7 +79,7 @@ def p6_joined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_table, p6_found, p6_key_results, p6_joined_pairs)}
+    return {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_table, p5_wide, p6_found, p6_key_results, p6_joined_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
