@@ -18,36 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varweave.functions.union_find import smallest_linked as union_find
 from varweave.operators.skew import SPLIT_ROWS, salted_join
 from varweave.session import cut
 
 #: Edges that one cell should hold; the grid is as fine as that takes.
 CELL_EDGES = 250_000
-FIRST_BLOCKS = 3
-
-
-def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every vertex of the edges with the smallest vertex of its component.
-
-    All edges at once: the larger root of every edge is hung under the smallest root that an edge links it to, the paths
-    are halved until they are flat, and edges within one tree are dropped, until none is left.
-    """
-    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    parent = np.arange(len(names))
-    while True:
-        a, b = parent[a], parent[b]
-        apart = a != b
-        if not apart.any():
-            return names, names[parent]
-        # Names are sorted, so the smaller position is the smaller key.
-        a, b = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
-        np.minimum.at(parent, b, a)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
+FIRST_BLOCKS = 2
 
 
 def _cells(edges: DataFrame, blocks: int) -> DataFrame:
