@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from varweave.llm.hashing import gram_hashes, plain_words, word_hashes
-from varweave.llm.leakage import ItemIndex, holds_passage, leaked_documents, leaked_in, smith_waterman
+from varweave.llm.leakage import dense_hits, holds_passage, leaked_documents, rare_positions, smith_waterman
 
 RNG = random.Random(12)
 VOCABULARY = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
@@ -43,10 +43,9 @@ def slow(item, doc):
     return any(least_edits(item[s : s + 30], doc) <= 3 for s in range(len(item) - 29))
 
 
-def test_edits_of_every_kind():
+def test_edits_of_every_kind(spark):
     items = [words(80) for _ in range(12)]
     items[1][:9] = items[0][:9]
-    index = ItemIndex(list(range(12)), [" ".join(i) for i in items])
     texts, want = [], set()
     for n in range(80):
         i = RNG.randrange(12)
@@ -55,7 +54,11 @@ def test_edits_of_every_kind():
         doc = words(RNG.randrange(30)) + edited(items[i][s : s + 30], k) + words(RNG.randrange(30))
         texts.append(RNG.choice([" ", "\n  ", "_-", '", "']).join(w.upper() if n % 3 == 0 else w for w in doc))
         want |= {(n, j) for j in range(12) if len(set(items[j]) & set(doc)) > 18 and slow(items[j], doc)}
-    assert set(leaked_in(index, texts)) == want and len(want) > 30
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string")
+    for split_rows in (1000, 5):
+        got = [tuple(r) for r in leaked_documents(d, i, split_rows=split_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
 def test_parts():
@@ -76,6 +79,23 @@ def test_documents(spark):
     i = spark.createDataFrame([(*x, 1) for x in it], "item_id long, text string, doc_id int")
     want = [(1, 10), (2, 11), (7, 10), (7, 11)]
     assert sorted(tuple(r) for r in leaked_documents(d, i).collect()) == want
-    # A query set beyond the block goes in several passes.
-    assert sorted(tuple(r) for r in leaked_documents(d, i, block_chars=200).collect()) == want
+    # Two texts of one item.
+    two = i.unionByName(spark.createDataFrame([(10, " ".join(items[1]), 1)], "item_id long, text string, doc_id int"))
+    assert sorted(tuple(r) for r in leaked_documents(d, two).collect()) == sorted([*want, (2, 10)])
     assert leaked_documents(d.limit(0), i).count() == 0 and leaked_documents(d, i.limit(0)).count() == 0
+
+
+def test_rare_seeds_find_every_passage():
+    """Whatever three seeds of a window survive, one of them is among the rare ones."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        common = rng.integers(0, 4, 60)
+        rare = rare_positions(common, 30, 3)
+        assert all((~rare[w : w + 24]).sum() <= 2 for w in range(37))
+    assert not rare_positions(np.zeros(23, int), 30, 3).any()
+
+
+def test_dense_hits():
+    at, doc = np.array([0, 5, 9, 40, 41, 42, 60]), np.array([0, 0, 0, 0, 0, 1, 1])
+    assert dense_hits(at, doc, 3, 9).tolist() == [True] * 3 + [False] * 4
+    assert dense_hits(at[:2], doc[:2], 3, 9).tolist() == [False] * 2 and dense_hits(at, doc, 1, 9).all()
