@@ -1,17 +1,19 @@
 """The language of each document, and of each stretch of another language inside it.
 
-Discrimination is hierarchical: a linear classifier over families of languages comes first, and within a family one
-linear support vector machine per pair of languages. Both work on hashed tokens, neighbouring tokens and line starts of
-single lines. A path of least cost over the lines of a document, where a line counts by its characters and a change of
-language costs a fixed amount, turns the lines' scores into stretches; the language with the most text is the main one, and prose inside a file of code
-belongs to it.
+Discrimination is hierarchical. Linear classifiers over families of languages decide first: a path of least cost over the
+lines of a document, where a line counts by its characters and a change of family costs a fixed amount, cuts it into runs of
+one family. Inside a run only that family's linear support vector machines, one for each pair of its languages, speak, and a
+second path over their votes gives the languages. Both work on hashed tokens, neighbouring tokens and line starts
+of single lines. The language with the most text is the main one, and prose inside a file of code belongs to it.
 
 The classifiers are fitted on a bounded sample of documents whose label and file name extension agree
-(``TRAIN_PER_LANGUAGE`` a language, none longer than ``TRAIN_MAX_CHARS``); every document is classified over its whole text.
+(``TRAIN_PER_LANGUAGE`` a language, none longer than ``TRAIN_MAX_CHARS``, from at most ``TRAIN_FILES`` files of the table);
+every document is classified over its whole text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varweave.llm.hashing import span_hashes
+from varweave.session import cut
 
 FAMILIES: dict[str, list[str]] = {
     "braces": ["c", "go", "java", "javascript", "rust"],
@@ -34,29 +37,21 @@ LANGUAGES = [x for f in FAMILIES.values() for x in f]
 #: Prose is no stretch of another language inside a file.
 PROSE = ("text",)
 
-#: Spellings of the labels, in lower case with outer blanks removed.
-ALIASES = {
-    "js": "javascript", "java script": "javascript", "ecmascript": "javascript", "node": "javascript", "nodejs": "javascript",
-    "py": "python", "python3": "python", "python2": "python",
-    "ansi c": "c", "c99": "c", "c11": "c", "c89": "c",
-    "golang": "go", "go lang": "go",
-    "rs": "rust", "rust-lang": "rust", "rustlang": "rust",
-    "ansi-sql": "sql", "ansi sql": "sql",
-    "sh": "shell", "bash": "shell", "shell script": "shell", "shellscript": "shell", "zsh": "shell",
-    "htm": "html", "html5": "html", "xhtml": "html",
-    "css3": "css", "css2": "css",
-    "yml": "yaml",
-    "md": "markdown",
-    "txt": "text", "plain text": "text", "plaintext": "text", "plain": "text",
-}
 #: File name extensions by language.
 EXTENSIONS = {
     "py": "python", "java": "java", "js": "javascript", "c": "c", "h": "c", "go": "go", "rs": "rust", "sql": "sql",
-    "sh": "shell", "html": "html", "css": "css", "yaml": "yaml", "yml": "yaml", "md": "markdown", "txt": "text",
+    "sh": "shell", "html": "html", "htm": "html", "css": "css", "yaml": "yaml", "yml": "yaml", "md": "markdown", "txt": "text",
 }
+#: Names that share no letters with the language's own.
+OTHER_NAMES = {"bash": "shell", "zsh": "shell", "ecmascript": "javascript", "node": "javascript", "plain": "text"}
+#: What may stand before or behind a language's name in a label without changing what it names.
+QUALIFIERS = "^(ansi|plain|x)|(lang|language|script|code|source|file)$"
+#: A label that no rule reads names the language of this share of its documents, if it has so many.
+LABEL_SHARE, LABEL_DOCUMENTS = 0.6, 20
 
 TRAIN_PER_LANGUAGE = 150
 TRAIN_MAX_CHARS = 20_000
+TRAIN_FILES = 64
 #: Windows of lines taken from each training document, of 1 to WINDOW_LINES lines.
 WINDOWS_PER_DOC, WINDOW_LINES = 12, 6
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-5
@@ -64,7 +59,7 @@ BITS = 16
 #: Cost of a change of language between two lines, in units of the score of UNIT characters: 200 characters of clear
 #: evidence, on however many lines, outweigh two changes.
 SWITCH = 3.5
-UNIT = 30
+UNIT = 16
 #: Characters a stretch must have to be reported.
 MIN_STRETCH = 200
 #: Confidence below which a stretch is taken for comments or prose, and is no finding.
@@ -83,11 +78,20 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] =
 _KIND[[*range(0, 33), 127]] = _SPACE
 
 
+def plain_label(label: Column) -> Column:
+    """A label in small letters and digits alone; null if nothing is left."""
+    word = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
+    return F.when(word != "", word)
+
+
 def language_of_label(label: Column) -> Column:
-    """One of the thirteen names for any known spelling, else null."""
-    word = F.lower(F.trim(F.regexp_replace(label, r"\s+", " ")))
-    known = F.create_map(*[F.lit(x) for k, v in ({x: x for x in LANGUAGES} | ALIASES).items() for x in (k, v)])
-    return F.element_at(known, word)
+    """One of the thirteen names, else null: by its name, an extension or another name, or one of these behind a version
+    number or a qualifier."""
+    known = F.create_map(*[F.lit(x) for k, v in ({x: x for x in LANGUAGES} | EXTENSIONS | OTHER_NAMES).items() for x in (k, v)])
+    word = plain_label(label)
+    bare = F.regexp_replace(word, "[0-9]+$", "")
+    named = lambda w: F.try_element_at(known, w)
+    return F.coalesce(named(word), named(bare), named(F.regexp_replace(bare, QUALIFIERS, "")))
 
 
 def language_of_path(path: Column) -> Column:
@@ -214,30 +218,33 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> np.ndarray:
     w = _fit(examples, y, seed)
     size = np.array([len(e) for e in examples])
     score = np.add.reduceat(w[np.concatenate(examples)], np.r_[0, np.cumsum(size)[:-1]], axis=0) / np.sqrt(size)[:, None]
-    best = language_scores(score)
-    mine = best[np.arange(len(names)), [LANGUAGES.index(x) for x in names]]
-    good = np.flatnonzero(mine > best.max(axis=1) - 0.8)
+    family, within = decisions(score)
+    mine = np.array([LANGUAGES.index(x) for x in names])
+    own = _FAMILY_OF[mine]
+    rows = np.arange(len(names))
+    relatives = np.where(_FAMILY_OF[None] == own[:, None], within, -np.inf).max(axis=1)
+    good = np.flatnonzero((family[rows, own] > family.max(axis=1) - 0.8) & (within[rows, mine] > relatives - 0.8))
     return _fit([examples[i] for i in good], y[good], seed + 1)
 
 
-def language_scores(margins: np.ndarray) -> np.ndarray:
-    """A score for each language: its family's margin, and the mean of its clipped margins against its relatives."""
-    out = np.empty((len(margins), len(LANGUAGES)), np.float32)
+#: The family of each language, by number.
+_FAMILY_OF = np.array([i for i, f in enumerate(FAMILIES.values()) for _ in f])
+
+
+def decisions(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the clipped margin of every family, and of every language the mean of its clipped margins against its relatives."""
     family = np.clip(margins[:, : len(FAMILIES)], -1.5, 1.5)
-    at = 0
-    for i, members in enumerate(FAMILIES.values()):
-        within = np.zeros((len(margins), len(members)), np.float32)
-        for j, (a, b) in enumerate(_PAIRS):
-            if a in members:
-                m = np.clip(margins[:, len(FAMILIES) + j], -1.5, 1.5)
-                within[:, members.index(a)] += m
-                within[:, members.index(b)] -= m
-        out[:, at : at + len(members)] = family[:, i : i + 1] + within / (len(members) - 1)
-        at += len(members)
-    return out
+    within = np.zeros((len(margins), len(LANGUAGES)), np.float32)
+    for j, (a, b) in enumerate(_PAIRS):
+        m = np.clip(margins[:, len(FAMILIES) + j], -1.5, 1.5)
+        within[:, LANGUAGES.index(a)] += m
+        within[:, LANGUAGES.index(b)] -= m
+    sizes = np.bincount(_FAMILY_OF)[_FAMILY_OF]
+    return family, within / (sizes - 1)
 
 
-def line_scores(lines: list[str], w: np.ndarray) -> np.ndarray:
+def line_scores(lines: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``decisions`` of every line; a line without a token decides nothing."""
     f = featurize(lines)
     n = np.diff(f.offset)
     out = w[f.start].copy()
@@ -252,16 +259,15 @@ def line_scores(lines: list[str], w: np.ndarray) -> np.ndarray:
             rows += w[f.pair[s:e]]
             out[part] += np.add.reduceat(rows, f.offset[part] - s, axis=0)
     out /= np.sqrt(2 * n + 1, dtype=np.float32)[:, None]
-    scores = language_scores(out)
-    scores[n == 0] = 0
-    return scores
+    out[n == 0] = 0
+    return decisions(out)
 
 
 #: A run of words with no more than sentence punctuation, after a comment or quotation mark or none.
 _SENTENCE = re.compile(r"""\s*([/*#<!\-"'`>;%]*)\s*((?:[\w,.;:'’-]+ +){3,}[\w,.;:'’-]+)\s*(?:["'`]?\s*[+\\,;]*|\*+/)\s*\Z""")
 _CODE_MARK = re.compile(r"[=(){}\[\]<>$&|@_]")
 #: A sentence says nothing of a programming language, and little of the kind of prose.
-_SENTENCE_WEIGHTS = np.array([0.3 if x in ("markdown", "text") else 0.0 for x in LANGUAGES], np.float32)
+_SENTENCE_WEIGHT, _PROSE_FAMILY = 0.3, list(FAMILIES).index("markup")
 
 
 def is_sentence(line: str) -> bool:
@@ -312,10 +318,32 @@ def _paths(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> list[n
     return out
 
 
-def _confidence(score: np.ndarray, of: int) -> float:
-    """How far the mean score of one language is above the next, as a probability."""
-    others = np.delete(score, of)
-    return float(1 / (1 + np.exp(-2.5 * (score[of] - others.max()))))
+def _confidence(family: np.ndarray, within: np.ndarray, of: int) -> float:
+    """How far the mean score of one family, and in it of one language, is above the next, as a probability: the lower of both."""
+    own = _FAMILY_OF[of]
+    relatives = within[(_FAMILY_OF == own) & (np.arange(len(LANGUAGES)) != of)]
+    margin = min(family[own] - np.delete(family, own).max(), within[of] - relatives.max())
+    return float(1 / (1 + np.exp(-2.5 * margin)))
+
+
+def _walked(family: np.ndarray, within: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The languages of the lines of several documents: families first, then the languages inside every run of a family."""
+    first = _paths(family, begins, counts)
+    out = [np.empty(n, np.int8) for n in counts.tolist()]
+    for f in range(len(FAMILIES)):
+        members = np.flatnonzero(_FAMILY_OF == f)
+        doc, at, size = [], [], []
+        for i, path in enumerate(first):
+            edges = np.flatnonzero(np.diff(np.r_[False, path == f, False].view(np.int8)))
+            for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+                doc.append(i)
+                at.append(a)
+                size.append(b - a)
+        if doc:
+            runs = _paths(within[:, members], begins[doc] + at, np.array(size))
+            for i, a, n, run in zip(doc, at, size, runs):
+                out[i][a : a + n] = members[run]
+    return out
 
 
 Found = tuple[str | None, float, list[tuple[str, int, int, float]]]
@@ -335,22 +363,29 @@ def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) ->
         counts[i] = len(lines)
         ids += [seen.setdefault(x, len(seen)) for x in lines]
     unique = list(seen)
-    per_unique = line_scores(unique, w)
+    family_unique, within_unique = line_scores(unique, w)
     sentences = np.fromiter((is_sentence(x) for x in unique), bool, len(unique))
-    per_unique[sentences] *= _SENTENCE_WEIGHTS
+    # A sentence says nothing of a family of programming languages, and little of the kind of prose.
+    weights = np.where(np.arange(len(FAMILIES)) == _PROSE_FAMILY, np.float32(_SENTENCE_WEIGHT), np.float32(0))
+    family_unique[sentences] *= weights
+    within_unique[sentences] *= weights[_FAMILY_OF]
     chars_unique = np.array([len(x) + 1 for x in unique], np.int64)
     ids_a = np.array(ids)
-    scores, chars, said = per_unique[ids_a], chars_unique[ids_a], sentences[ids_a]
+    family, within, chars, said = family_unique[ids_a], within_unique[ids_a], chars_unique[ids_a], sentences[ids_a]
     begins = np.r_[0, np.cumsum(counts)[:-1]]
     filled = chars > 1
-    total = np.add.reduceat(scores * np.minimum(chars, PIECE)[:, None], begins, axis=0)
-    lead = total.argmax(axis=1)
-    # A document is walked line by line only if some line speaks for another language; else the path never changes.
+    weight = np.minimum(chars, PIECE)[:, None]
+    lead_family = np.add.reduceat(family * weight, begins, axis=0).argmax(axis=1)
+    inside = np.add.reduceat(within * weight, begins, axis=0)
+    lead = np.where(_FAMILY_OF[None] == lead_family[:, None], inside, -np.inf).argmax(axis=1)
+    # A document is walked line by line only if some line speaks for another family or language; else the path never changes.
     leader = np.repeat(lead, counts)
-    other = scores.max(axis=1) - scores[np.arange(len(scores)), leader] > 0
+    rows = np.arange(len(leader))
+    relatives = np.where(_FAMILY_OF[None] == _FAMILY_OF[leader][:, None], within, -np.inf).max(axis=1)
+    other = (family.max(axis=1) > family[rows, _FAMILY_OF[leader]]) | (relatives > within[rows, leader])
     walk = np.flatnonzero(np.logical_or.reduceat(other, begins))
-    weighed = scores * (chars / UNIT).astype(np.float32)[:, None]
-    paths = dict(zip(walk.tolist(), _paths(weighed, begins[walk], counts[walk])))
+    units = (chars / UNIT).astype(np.float32)[:, None]
+    paths = dict(zip(walk.tolist(), _walked(family * units, within * units, begins[walk], counts[walk])))
     out: list[Found] = []
     prose = {LANGUAGES.index(x) for x in PROSE}
     markdown = LANGUAGES.index("markdown")
@@ -360,10 +395,10 @@ def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) ->
             out.append((None, 0.0, []))
             continue
         if i not in paths:
-            mean = scores[s : s + n][filled[s : s + n]].mean(axis=0)
-            out.append((LANGUAGES[lead[i]], _confidence(mean, int(lead[i])), []))
+            some = s + np.flatnonzero(filled[s : s + n])
+            out.append((LANGUAGES[lead[i]], _confidence(family[some].mean(axis=0), within[some].mean(axis=0), int(lead[i])), []))
             continue
-        here, has, size = scores[s : s + n], filled[s : s + n], np.where(filled[s : s + n], chars[s : s + n], 0)
+        has, size = filled[s : s + n], np.where(filled[s : s + n], chars[s : s + n], 0)
         path = paths[i]
         cuts = np.r_[0, np.flatnonzero(np.diff(path)) + 1, n]
         runs = []
@@ -371,7 +406,8 @@ def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) ->
             held = a + np.flatnonzero(has[a:b])
             if len(held):
                 lang = int(path[a])
-                runs.append((lang, held, _confidence(np.average(here[held], axis=0, weights=size[held]), lang)))
+                share = size[held] / size[held].sum()
+                runs.append((lang, held, _confidence(share @ family[s + held], share @ within[s + held], lang)))
         # Only what is no sentence speaks for a language of code; sentences count for the kinds of prose.
         spoken = np.where(said[s : s + n], 0, size)
         amount = np.zeros(len(LANGUAGES))
@@ -389,19 +425,25 @@ def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) ->
         if amount[main] <= CODE_SHARE * aside and not amount[markdown]:
             main = LANGUAGES.index(PROSE[0])
         mine = np.concatenate([held for lang, held, _ in runs if lang == main] or [np.flatnonzero(has)])
-        mean = here[mine].mean(axis=0)
         stretches = []
         for lang, held, sure in runs:
             if lang != main and lang not in prose and sure >= least:
                 length = int(chars[s + held[0] : s + held[-1] + 1].sum()) - 1
                 if length >= MIN_STRETCH:
                     stretches.append((LANGUAGES[lang], int(held[0]), length, sure))
-        out.append((LANGUAGES[main], _confidence(mean, main), stretches))
+        out.append((LANGUAGES[main], _confidence(family[s + mine].mean(axis=0), within[s + mine].mean(axis=0), main), stretches))
     return out
 
 
-def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_chars: int = TRAIN_MAX_CHARS) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts a language whose label and extension agree, chosen by a hash of the id."""
+def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_chars: int = TRAIN_MAX_CHARS, files: int = TRAIN_FILES) -> tuple[list[str], list[str]]:
+    """At most ``per_language`` texts a language whose label and extension agree, chosen by a hash of the id.
+
+    Of a table of more than ``files`` files so many are read, in the order of a hash of their paths.
+    """
+    paths = documents.inputFiles()
+    if len(paths) > files:
+        chosen = sorted(paths, key=lambda p: hashlib.sha1(p.encode()).digest())[:files]
+        documents = documents.filter(F.col("_metadata.file_path").isin(chosen))
     agree = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label"), language_of_path(F.col("path")).alias("ext")).filter(
         F.col("doc_id").isNotNull() & (F.col("label") == F.col("ext"))
     )
@@ -422,15 +464,28 @@ def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE
     return texts, labels
 
 
+#: The last fitted weights, by what they were fitted on.
+_FITTED: dict[str, np.ndarray] = {}
+
+
+def fitted(texts: list[str], labels: list[str]) -> np.ndarray:
+    """``train``, remembered for the next query over the same sample."""
+    name = hashlib.sha256("\0".join([*labels, *texts]).encode("utf-8", "replace")).hexdigest()
+    if name not in _FITTED:
+        _FITTED.clear()
+        _FITTED[name] = train(texts, labels)
+    return _FITTED[name]
+
+
 def document_languages(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """(doc_id, part, lang, confidence, first_line, n_chars): part ``main`` for each document, ``stretch`` for each stretch
-    of another language of at least 200 characters, however low its confidence; beside them the row's own label as one of the thirteen names.
+    of another language of at least 200 characters, however low its confidence; beside them the row's own label in small letters and digits.
 
     A null or empty text has no main language (lang null, confidence 0). Rows without an id are left out. If no row has a
     usable label nothing can be learned, and every language is as good; the first is given with confidence 0.5.
     """
     texts, labels = training_sample(documents, per_language)
-    weights = documents.sparkSession.sparkContext.broadcast(train(texts, labels))
+    weights = documents.sparkSession.sparkContext.broadcast(fitted(texts, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -446,19 +501,32 @@ def document_languages(documents: DataFrame, per_language: int = TRAIN_PER_LANGU
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_NAMES)
 
-    chosen = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), language_of_label(F.col("lang")).alias("label"), F.col("text"))
+    chosen = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), plain_label(F.col("lang")).alias("label"), F.col("text"))
     return chosen.mapInArrow(run, "doc_id long, label string, part string, lang string, confidence double, first_line int, n_chars long")
 
 
 _NAMES = ["doc_id", "label", "part", "lang", "confidence", "first_line", "n_chars"]
 
 
+def label_languages(found: DataFrame) -> DataFrame:
+    """(label, named) of the labels that no rule reads: the main language of LABEL_SHARE of their documents, of which there are
+    at least LABEL_DOCUMENTS. Labels without such a language name none."""
+    mains = found.filter((F.col("part") == "main") & F.col("label").isNotNull() & language_of_label(F.col("label")).isNull())
+    each = mains.groupBy("label", "lang").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("label").agg(F.sum("n").alias("all"), F.max_by("lang", F.struct("n", "lang")).alias("named"), F.max("n").alias("n"))
+    return most.filter((F.col("all") >= LABEL_DOCUMENTS) & (F.col("n") >= LABEL_SHARE * F.col("all"))).select("label", "named")
+
+
 def language_findings(found: DataFrame) -> DataFrame:
     """(doc_id, finding, lang): ``label`` where the label is missing or names another language, ``segment`` for each other
-    language of a stretch of at least the confidence MIN_CONFIDENCE."""
+    language of a stretch of at least the confidence MIN_CONFIDENCE. A label is read by rule, else by what its documents are."""
+    found = cut(found)
     main = F.col("part") == "main"
+    learned = label_languages(found).select(F.col("label").alias("__label"), "named")
+    met = found.join(learned, F.col("label") == F.col("__label"), "left")
+    named = F.coalesce(language_of_label(F.col("label")), F.col("named"))
     return (
-        found.filter(F.col("lang").isNotNull() & F.when(main, ~F.col("label").eqNullSafe(F.col("lang"))).otherwise(F.col("confidence") >= MIN_CONFIDENCE))
+        met.filter(F.col("lang").isNotNull() & F.when(main, ~named.eqNullSafe(F.col("lang"))).otherwise(F.col("confidence") >= MIN_CONFIDENCE))
         .select("doc_id", F.when(main, "label").otherwise("segment").alias("finding"), "lang")
         .distinct()
     )
