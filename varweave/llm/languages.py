@@ -283,38 +283,47 @@ def is_sentence(line: str) -> bool:
 
 
 def _paths(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """The best sequence of languages for the lines of several documents, all advanced line by line together."""
-    order = np.argsort(-counts, kind="stable")
+    """The best sequence of classes for the lines of several stretches of lines.
+
+    Where no line speaks for another class than the stretch as a whole, that class is the path; the others are advanced
+    line by line together.
+    """
+    lines = np.repeat(begins - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum()))
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    here = scores[lines]
+    lead = np.add.reduceat(here, starts, axis=0).argmax(axis=1).astype(np.int8)
+    other = here.max(axis=1) > here[np.arange(len(here)), np.repeat(lead, counts)]
+    hard = np.flatnonzero(np.logical_or.reduceat(other, starts))
+    out: list[np.ndarray] = [np.full(n, x, np.int8) for n, x in zip(counts.tolist(), lead.tolist())]
+    order = hard[np.argsort(-counts[hard], kind="stable")]
+    if not len(order):
+        return out
     begins, counts = begins[order], counts[order]
-    steps = int(counts[0]) if len(counts) else 0
+    steps = int(counts[0])
+    alive = np.searchsorted(-counts, -np.arange(steps), "left")
     value = scores[begins].copy()
-    back = np.empty((int(counts.sum()), scores.shape[1]), np.int8)
     where = np.r_[0, np.cumsum(counts)]
+    back = np.empty((int(where[-1]), scores.shape[1]), np.int8)
     own = np.arange(scores.shape[1], dtype=np.int8)
-    final = np.empty((len(counts), scores.shape[1]), np.float32)
-    alive = len(counts)
-    for t in range(1, steps + 1):
-        still = int(np.searchsorted(-counts, -t, "left"))
-        final[still:alive] = value[still:alive]
-        alive = still
-        if not alive:
-            break
-        v = value[:alive]
+    rows = np.arange(len(counts))
+    for t in range(1, steps):
+        n = int(alive[t])
+        v = value[:n]
         best = v.argmax(axis=1)
-        jump = v[np.arange(alive), best] - np.float32(SWITCH)
+        jump = v[rows[:n], best] - np.float32(SWITCH)
         stay = v >= jump[:, None]
-        back[where[:alive] + t] = np.where(stay, own, best[:, None].astype(np.int8))
-        value[:alive] = np.where(stay, v, jump[:, None]) + scores[begins[:alive] + t]
-    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(counts)
-    for i, n in enumerate(counts.tolist()):
-        path = np.empty(n, np.int8)
-        at = int(final[i].argmax())
-        rows = back[where[i] : where[i] + n].tolist()
-        for t in range(n - 1, 0, -1):
-            path[t] = at
-            at = rows[t][at]
-        path[0] = at
-        out[order[i]] = path
+        back[where[:n] + t] = np.where(stay, own, best[:, None].astype(np.int8))
+        value[:n] = np.where(stay, v, jump[:, None]) + scores[begins[:n] + t]
+    flat = np.empty(len(back), np.int8)
+    at = value.argmax(axis=1)
+    for t in range(steps - 1, -1, -1):
+        n = int(alive[t])
+        place = where[:n] + t
+        flat[place] = at[:n]
+        if t:
+            at[:n] = back[place, at[:n]]
+    for i, a, n in zip(order.tolist(), where.tolist(), counts.tolist()):
+        out[i] = flat[a : a + n]
     return out
 
 
@@ -328,22 +337,25 @@ def _confidence(family: np.ndarray, within: np.ndarray, of: int) -> float:
 
 def _walked(family: np.ndarray, within: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """The languages of the lines of several documents: families first, then the languages inside every run of a family."""
-    first = _paths(family, begins, counts)
-    out = [np.empty(n, np.int8) for n in counts.tolist()]
+    if not len(begins):
+        return []
+    first = np.concatenate(_paths(family, begins, counts))
+    edges = np.r_[0, np.cumsum(counts)]
+    new = np.r_[True, first[1:] != first[:-1]]
+    new[edges[:-1]] = True
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.r_[starts, len(first)])
+    doc = np.searchsorted(edges, starts, "right") - 1
+    at = begins[doc] + starts - edges[doc]
+    out = np.empty(len(first), np.int8)
     for f in range(len(FAMILIES)):
         members = np.flatnonzero(_FAMILY_OF == f)
-        doc, at, size = [], [], []
-        for i, path in enumerate(first):
-            edges = np.flatnonzero(np.diff(np.r_[False, path == f, False].view(np.int8)))
-            for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
-                doc.append(i)
-                at.append(a)
-                size.append(b - a)
-        if doc:
-            runs = _paths(within[:, members], begins[doc] + at, np.array(size))
-            for i, a, n, run in zip(doc, at, size, runs):
-                out[i][a : a + n] = members[run]
-    return out
+        mine = np.flatnonzero(first[starts] == f)
+        if len(mine):
+            runs = _paths(within[:, members], at[mine], sizes[mine])
+            lines = np.repeat(starts[mine] - np.r_[0, np.cumsum(sizes[mine])[:-1]], sizes[mine]) + np.arange(int(sizes[mine].sum()))
+            out[lines] = members[np.concatenate(runs)]
+    return np.split(out, edges[1:-1])
 
 
 Found = tuple[str | None, float, list[tuple[str, int, int, float]]]
