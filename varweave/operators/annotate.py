@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from varweave.functions.exprs import base62, hex_hash
 
 PRIMARY = ["start", "end", "end2", "length"]
+#: The filter of breakends without a mate, and its description.
+UNPAIRED = ("UNPAIRED_BND", "No mate of this breakend in its file")
 
 
 def pair_breakends(table: DataFrame) -> DataFrame:
@@ -64,11 +66,16 @@ def short_hash(text: Column) -> Column:
     return F.left(base62(F.unhex(F.sha2(text, 256))), F.lit(7))
 
 
+def occurrences(by: list[str], order: str) -> Column:
+    """Which of the rows with equal ``by`` each row is, from 0, in the order of ``order``."""
+    return (F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1).cast("int")
+
+
 def variant_reps(table: DataFrame) -> DataFrame:
     """(row_key, kind, vid, vid_hash, vid_rep) of each group: its primary record's text, and which of equal ones it is."""
     first = table.groupBy("row_key").agg(F.min_by(F.struct("kind", variant_text().alias("vid")), F.struct("vix_ix", "row_id")).alias("p"))
     hashed = first.select("row_key", "p.kind", "p.vid", short_hash(F.col("p.vid")).alias("vid_hash"))
-    return hashed.withColumn("vid_rep", F.row_number().over(W.partitionBy("vid_hash").orderBy("row_key")) - 1)
+    return hashed.withColumn("vid_rep", occurrences(["vid_hash"], "row_key"))
 
 
 def add_variant_ids(table: DataFrame, prefix: str = "VW") -> DataFrame:
@@ -81,14 +88,51 @@ def add_variant_ids(table: DataFrame, prefix: str = "VW") -> DataFrame:
     return table.join(ids, table["row_key"] == ids["__key"], "left").drop("__key")
 
 
+#: The order of a group's members: by file, then by record.
+MEMBER_ORDER = ("vix_ix", "row_id")
+
+
+def in_member_order(value: Column) -> Column:
+    """Aggregate: the values of a group's members in order, nulls left out. A merged group has at most one member a file."""
+    kept = F.when(value.isNotNull(), F.struct(F.struct(*MEMBER_ORDER).alias("o"), value.alias("x")))
+    return F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["x"])
+
+
+def group_quality(qual: Column) -> Column:
+    """Aggregate: the greatest quality, not below 0."""
+    return F.greatest(F.coalesce(F.max(qual), F.lit(0.0)), F.lit(0.0))
+
+
+def group_filters(filters: Column, breakend: Column, paired: Column) -> Column:
+    """Aggregate: the members' filters, each once and sorted; one more where the first member is a breakend and none is paired."""
+    first = F.coalesce(F.min_by(breakend, F.struct(*MEMBER_ORDER)), F.lit(False))
+    alone = first & ~F.coalesce(F.bool_or(F.coalesce(paired, F.lit(False))), F.lit(False))
+    more = F.when(alone, F.array(F.lit(UNPAIRED[0]))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list(filters)), more)))
+
+
+def group_ids(ids: Column) -> Column:
+    """Aggregate: the identifiers of all members in order."""
+    return F.flatten(in_member_order(ids))
+
+
+def group_criteria(criteria: Column) -> Column:
+    """Aggregate: the longest criteria text, the first member's on a tie."""
+    size = F.length(F.coalesce(criteria, F.lit("")))
+    return F.max_by(criteria, F.struct(size, *[-F.col(c) for c in MEMBER_ORDER]))
+
+
+def group_class(label: Column, strand: Column) -> Column:
+    """Aggregate: class and strand of the last member that has a class, else empty."""
+    return F.coalesce(F.max_by(F.concat(label, F.coalesce(strand, F.lit(""))), F.when(label != "", F.struct(*MEMBER_ORDER))), F.lit(""))
+
+
 def group_summary(table: DataFrame) -> DataFrame:
-    """Per group: members, longest criteria text (the first member's on a tie), whether paired, and alternate sequences in file order."""
-    order = F.struct("vix_ix", "row_id")
-    size = F.length(F.coalesce("criteria", F.lit("")))
+    """Per group: members, longest criteria text (the first member's on a tie), and alternate sequences in file order."""
     return table.groupBy("row_key").agg(
         F.count(F.lit(1)).alias("n_members"),
-        F.max_by("criteria", F.struct(size, -F.col("vix_ix"), -F.col("row_id"))).alias("criteria"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("alt_seq").isNotNull(), F.struct(order.alias("o"), F.col("alt_seq").alias("s"))))), lambda x: x["s"]).alias("alt_seqs"),
+        group_criteria(F.col("criteria")).alias("criteria"),
+        in_member_order(F.col("alt_seq")).alias("alt_seqs"),
     )
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varweave import errors as E
-from varweave.functions.exprs import hex_hash
+from varweave.functions.exprs import hex_hash, parse_breakend
 from varweave.operators import annotate as A
 from varweave.operators import features as FE
 from varweave.operators.merging import merge_all
@@ -21,9 +17,10 @@ from varweave.options import IndexOptions, MergeOptions
 from varweave.session import cut
 from varweave.sources.fasta import read_fasta, reference_bases
 from varweave.sources.header import merged_header
+from varweave.sources.storage import write_sorted
 from varweave.sources.vcf import RAW, _SEQ, inserted_sequences, mate_of, read_vcfs
 
-_RAW_COLUMNS = [c.split(" ")[0] for c in ("file", "contig", "pos", "ids", "ref", "alts", "qual", "filters", "info", "keys", "samples")]
+RAW_COLUMNS = [c.split(" ")[0] for c in ("file", "contig", "pos", "ids", "ref", "alts", "qual", "filters", "info", "keys", "samples")]
 
 
 def annotated(table: DataFrame, options: MergeOptions) -> DataFrame:
@@ -56,39 +53,29 @@ def _alleles(record: dict, force_tags: bool, base: str | None) -> tuple[str, str
     return ref, alt
 
 
-def _summary_class(members: list[dict]) -> str:
-    said = [m["class"] + m["strand"] for m in members if m["class"]]
-    return said[-1] if said else ""
-
-
 def construct_record(group: dict, widths: list[int], options: MergeOptions) -> str:
-    """The line of one merged record. ``group`` has variant_id, base and members in file order, each with its raw columns.
+    """The line of one merged record.
 
-    Sample values are aligned with the first member's FORMAT keys by name; a key that another file lacks is missing there.
+    ``group`` has variant_id, base, what the members give together (qual, filters, original_ids, longest, inserted, label) and the
+    members with their raw columns. Sample values are aligned with the first member's FORMAT keys by name; a key that another file lacks
+    is missing there.
     """
     members = sorted(group["members"], key=lambda m: (m["vix_ix"], m["row_id"]))
     first = members[0]
     ref, alt = _alleles(first, options.force_alt_tags, group["base"] if options.fills else None)
     mate = mate_of(first["alts"][0])
-    filters = {f for m in members for f in m["filters"]}
-    if mate and not any(m["paired_bnd"] for m in members):
-        filters.add("UNPAIRED_BND")
     prefix = options.tag_prefix
     info = [(x["key"], x["value"]) for x in first["info"]]
-    ids = [i for m in members for i in m["ids"]]
-    if ids:
-        info.append(("ORIGINAL_IDS", ",".join(ids)))
+    if group["original_ids"]:
+        info.append(("ORIGINAL_IDS", ",".join(group["original_ids"])))
     if mate:
         info = [x for x in info if x[0] not in ("CHR2", "END2")] + [("CHR2", mate[0]), ("END2", str(mate[1]))]
-    criteria = max((m["criteria"] or "" for m in members), key=len)
-    if criteria:
-        info.append((f"{prefix}_CRITERIA", criteria))
-    alts = [m["alt_seq"] for m in members if m["alt_seq"] is not None]
-    if alts:
-        info.append((f"{prefix}_ALT_SEQ", ",".join(alts)))
-    named = _summary_class(members)
-    if named:
-        info.append((f"{prefix}_ALT_CLASS", named))
+    if group["longest"]:
+        info.append((f"{prefix}_CRITERIA", group["longest"]))
+    if group["inserted"]:
+        info.append((f"{prefix}_ALT_SEQ", ",".join(group["inserted"])))
+    if group["label"]:
+        info.append((f"{prefix}_ALT_CLASS", group["label"]))
     info = [x for x in info if x[0] not in options.unwanted_info]
     keys = first["keys"]
     by_file = {m["vix_ix"]: m for m in reversed(members)}
@@ -102,7 +89,6 @@ def construct_record(group: dict, widths: list[int], options: MergeOptions) -> s
             for values in m["samples"]:
                 own = dict(zip(m["keys"], values))
                 cells.append(":".join(own.get(k, ".") for k in keys))
-    quality = max([0.0, *(m["qual"] for m in members if m["qual"] is not None)])
     return "\t".join(
         [
             first["contig"],
@@ -110,8 +96,8 @@ def construct_record(group: dict, widths: list[int], options: MergeOptions) -> s
             group["variant_id"],
             ref,
             alt,
-            f"{quality:g}",
-            ";".join(sorted(filters)) or ".",
+            f"{group['qual']:g}",
+            ";".join(group["filters"]) or ".",
             ";".join(k if v is None else f"{k}={v}" for k, v in info) or ".",
             *([":".join(keys), *cells] if any(widths) else []),
         ]
@@ -120,21 +106,28 @@ def construct_record(group: dict, widths: list[int], options: MergeOptions) -> s
 
 def record_lines(table: DataFrame, raw: DataFrame, widths: list[int], options: MergeOptions) -> DataFrame:
     """(line, and its sorting columns) of every group. A group holds at most one record of each of 64 files."""
-    own = ["row_id", "vix_ix", "criteria", "alt_seq", "paired_bnd", "class", "strand"]
-    met = table.join(raw.select("row_id", *_RAW_COLUMNS), "row_id")
+    own = ["row_id", "vix_ix"]
+    met = table.join(raw.select("row_id", *RAW_COLUMNS), "row_id")
     if options.fills:
         chunks = read_fasta(table.sparkSession, [options.reference], chunked=True)
         bases = reference_bases(met.select("contig", F.greatest("pos", F.lit(1)).alias("pos")), chunks).withColumnRenamed("pos", "__pos").withColumnRenamed("contig", "__contig")
         met = met.join(bases, (F.col("contig") == F.col("__contig")) & (F.greatest("pos", F.lit(1)) == F.col("__pos")), "left")
     else:
         met = met.withColumn("base", F.lit(None).cast("string"))
+    breakend = parse_breakend(F.try_element_at("alts", F.lit(1))).isNotNull()
     groups = met.groupBy("row_key").agg(
         F.min("chrom_id").alias("chrom_id"),
         F.min("primary_start").alias("primary_start"),
         F.min("primary_end").alias("primary_end"),
         F.first("variant_id").alias("variant_id"),
         F.min_by("base", "vix_ix").alias("base"),
-        F.collect_list(F.struct(*own, *_RAW_COLUMNS)).alias("members"),
+        A.group_quality(F.col("qual")).alias("qual"),
+        A.group_filters(F.col("filters"), breakend, F.col("paired_bnd")).alias("filters"),
+        A.group_ids(F.col("ids")).alias("original_ids"),
+        A.group_criteria(F.col("criteria")).alias("longest"),
+        A.in_member_order(F.col("alt_seq")).alias("inserted"),
+        A.group_class(F.col("class"), F.col("strand")).alias("label"),
+        F.collect_list(F.struct(*own, *RAW_COLUMNS)).alias("members"),
     )
     order = ["chrom_id", "primary_start", "primary_end", "row_key"]
 
@@ -147,21 +140,14 @@ def record_lines(table: DataFrame, raw: DataFrame, widths: list[int], options: M
 
 
 def write_lines(lines: DataFrame, header: list[str], path: str) -> None:
-    """Header and sorted lines as one file, packed if its name ends in gz.
+    """Header and sorted lines as one file, block-gzip if its name ends in gz."""
+    write_sorted(lines.orderBy("chrom_id", "primary_start", "primary_end", "row_key").select("line"), header, path)
 
-    Parts are sorted and written by the tasks; the driver only copies them one after the other, in bounded memory.
-    """
-    parts = tempfile.mkdtemp(prefix="varweave-vcf-", dir=os.path.dirname(os.path.abspath(path)))
-    try:
-        lines.orderBy("chrom_id", "primary_start", "primary_end", "row_key").select("line").write.mode("overwrite").text(f"{parts}/lines")
-        with gzip.open(path, "wb") if path.endswith(("gz", "bgz")) else open(path, "wb") as out:
-            out.write(("\n".join(header) + "\n").encode())
-            for name in sorted(os.listdir(f"{parts}/lines")):
-                if name.startswith("part-"):
-                    with open(f"{parts}/lines/{name}", "rb") as f:
-                        shutil.copyfileobj(f, out)
-    finally:
-        shutil.rmtree(parts, ignore_errors=True)
+
+def write_report(table: DataFrame, path: str) -> None:
+    """The report of a table with primary columns, as a folder of tab-separated files in the order of contig, group and record."""
+    report = A.report_table(table).orderBy("chrom_id", "row_key", "row_id")
+    report.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
 
 
 def merge_vcfs(spark: SparkSession, paths: list[str], out: str, options: MergeOptions | None = None) -> DataFrame:
@@ -169,12 +155,11 @@ def merge_vcfs(spark: SparkSession, paths: list[str], out: str, options: MergeOp
     options = options or MergeOptions()
     records, headers = read_vcfs(spark, paths)
     records = cut(records)
-    raw = records.select("row_id", *_RAW_COLUMNS)
-    core = records.drop(*_RAW_COLUMNS)
+    raw = records.select("row_id", *RAW_COLUMNS)
+    core = records.drop(*RAW_COLUMNS)
     table = cut(annotated(merge_all(core, len(paths), options), options))
     if options.merge_table:
-        report = A.report_table(table.drop("class", "strand", "paired_bnd")).orderBy("chrom_id", "row_key", "row_id")
-        report.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(options.merge_table)
+        write_report(table.drop("class", "strand", "paired_bnd"), options.merge_table)
     samples = [s for h in headers for s in h.samples]
     head = merged_header(headers[0], samples, options.tag_prefix, options.unwanted_info)
     write_lines(record_lines(table, raw, [len(h.samples) for h in headers], options), head, out)
@@ -182,8 +167,8 @@ def merge_vcfs(spark: SparkSession, paths: list[str], out: str, options: MergeOp
 
 
 def index_fasta(spark: SparkSession, fasta: str, out: str, options: IndexOptions | None = None) -> FE.FeatureIndex:
-    """Build and save the k-mer index of a FASTA file; features are numbered in the order of their names."""
-    index = FE.build_index(read_fasta(spark, [fasta]), options)
+    """Build and save the k-mer index of a FASTA file; features are numbered in the order of the file."""
+    index = FE.build_index(read_fasta(spark, [fasta]), options, nix="number")
     index.save(out)
     return index
 
@@ -200,4 +185,4 @@ def similar_features(spark: SparkSession, index_path: str, query: str | None = N
     return FE.find_similar(index, asked).orderBy("query_name", "place")
 
 
-assert set(_RAW_COLUMNS) <= set(RAW.replace(",", " ").replace("<", " ").split())
+assert set(RAW_COLUMNS) <= set(RAW.replace(",", " ").replace("<", " ").split())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from varweave.sources.header import open_text
+from varweave.sources.storage import open_text
 
 CHUNK = 1 << 20
 
@@ -43,16 +43,17 @@ class FastaReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for name, sequence in read_records(partition.path):
+        for number, (name, sequence) in enumerate(read_records(partition.path)):
             if self.chunked:
                 for i in range(0, max(len(sequence), 1), CHUNK):
                     yield name.split()[0] if name.split() else "", i // CHUNK, len(sequence), sequence[i : i + CHUNK]
             else:
-                yield name, sequence
+                yield name, sequence, number
 
 
 class FastaSource(DataSource):
-    """``spark.read.format("sv_fasta").option("paths", "a.fa")``; with option chunked, pieces of a fixed length."""
+    """``spark.read.format("sv_fasta").option("paths", "a.fa")``: name, sequence and its number in the file; with option chunked,
+    pieces of a fixed length."""
 
     @classmethod
     def name(cls) -> str:
@@ -62,7 +63,7 @@ class FastaSource(DataSource):
         return self.options.get("chunked", "false") == "true"
 
     def schema(self) -> str:
-        return "contig string, chunk long, contig_size long, bases string" if self._chunked() else "name string, sequence string"
+        return "contig string, chunk long, contig_size long, bases string" if self._chunked() else "name string, sequence string, number long"
 
     def reader(self, schema: object) -> DataSourceReader:
         return FastaReader([p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p], self._chunked())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from typing import IO
+
+from varweave.operators.annotate import UNPAIRED
+from varweave.sources.storage import open_text
 
 _META = re.compile(r"^##([A-Za-z]+)=<(.*)>$")
 _PART = re.compile(r'([A-Za-z0-9_.]+)=("(?:[^"\\]|\\.)*"|[^,]*)')
@@ -40,13 +41,6 @@ class Header:
         self.lines.append(line)
 
 
-def open_text(path: str) -> IO[str]:
-    """A text stream over a plain, gzip or block-gzip file, told apart by its first bytes."""
-    with open(path, "rb") as f:
-        packed = f.read(2) == b"\x1f\x8b"
-    return gzip.open(path, "rt", encoding="utf-8") if packed else open(path, encoding="utf-8")
-
-
 def scan(path: str) -> tuple[Header, Iterator[str]]:
     """The header of a VCF file and an iterator over its record lines."""
     stream = open_text(path)
@@ -77,22 +71,22 @@ def read_header(path: str) -> Header:
     return header
 
 
-#: What the merged file declares beside the first file's header; the prefix stands before the last three.
+#: What the merged file declares beside the first file's header: name, type, description, and whether the prefix stands
+#: before the name. Names and types are fixed values.
 ADDED = [
-    ("CHR2", "String", "Chromosome for end coordinate in case of a translocation", False),
-    ("END2", "Integer", "End position of the structural variant on CHR2", False),
-    ("ORIGINAL_IDS", "String", "The variant IDs from the original VCFs", False),
-    ("CRITERIA", "String", "The list of criteria that resulted in the merging of these variants.", True),
-    ("ALT_SEQ", "String", "The list of alt sequences that were replaced with the ALT tag.", True),
-    ("ALT_CLASS", "String", "Classification of the inserted sequence.", True),
+    ("CHR2", "String", "Contig on which the mate of a breakend lies", False),
+    ("END2", "Integer", "Place of the mate of a breakend", False),
+    ("ORIGINAL_IDS", "String", "Identifiers of the merged records in their files", False),
+    ("CRITERIA", "String", "Rounds of the merge that joined these records", True),
+    ("ALT_SEQ", "String", "Inserted or deleted sequences for which tags stand", True),
+    ("ALT_CLASS", "String", "Class of the most similar indexed feature, with its strand", True),
 ]
 
-
 def merged_header(first: Header, samples: list[str], prefix: str, unwanted: tuple[str, ...]) -> list[str]:
     """Header lines of the merged file: the first file's, what the merge adds, without unwanted INFO fields."""
     out = [x for x in first.lines if not any(x.startswith(f"##INFO=<ID={u},") for u in unwanted)]
-    if "UNPAIRED_BND" not in first.filters:
-        out.append('##FILTER=<ID=UNPAIRED_BND,Description="Breakend variant does not have a symmetric pair">')
+    if UNPAIRED[0] not in first.filters:
+        out.append(f'##FILTER=<ID={UNPAIRED[0]},Description="{UNPAIRED[1]}">')
     for name, kind, said, own in ADDED:
         name = f"{prefix}_{name}" if own else name
         if name not in first.infos and name not in unwanted:

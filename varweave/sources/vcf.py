@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from varweave import errors as E
-from varweave.functions.exprs import digest56, is_seq
+from varweave.functions.exprs import BREAKENDS, digest56, is_seq
 from varweave.schema import CORE, MAX_FILES, contig_check, with_merge_state
 from varweave.sources.header import Header, read_header, scan
 
@@ -24,12 +24,7 @@ RAW = (
 SCHEMA = f"vix_ix int, {CORE}, {RAW}"
 
 _SEQ = re.compile(r"[ACGTNacgtn*]*\Z")
-_MATES = [
-    re.compile(r"[ACGTNacgtn]\[([^:]+):([0-9]+)\["),
-    re.compile(r"[ACGTNacgtn]\]([^:]+):([0-9]+)\]"),
-    re.compile(r"\]([^:]+):([0-9]+)\][ACGTNacgtn]"),
-    re.compile(r"\[([^:]+):([0-9]+)\[[ACGTNacgtn]"),
-]
+_MATES = [re.compile(pattern) for pattern, _, _ in BREAKENDS]
 
 
 def mate_of(alt: str) -> tuple[str, int] | None:
@@ -143,8 +138,8 @@ def core_of(row_num: int, chrom: str, pos: int, ref: str, alts: list[str], info:
         if _SEQ.match(alts[0]):
             alt_seq = alts[0][1:]
             seq_hash = digest56(alt_seq)
-        elif alts[0].startswith("<"):
-            seq_hash = digest56(alts[0].strip("<>"))
+        else:
+            seq_hash = digest56(alts[0])
     return (row_num, contigs[chrom], chrom, pos, end, kind, length, contigs.get(chrom2) if chrom2 else None, chrom2, end2, alt_seq, seq_hash)
 
 
