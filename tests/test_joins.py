@@ -93,7 +93,7 @@ def test_nearest_by_brute_force(spark):
     rng = random.Random(8)
     ks = sorted(rng.sample(range(10000), 300))
     xs = [rng.randrange(-50, 10500) for _ in range(200)]
-    got = [(r["x"], r["nearest"]) for r in R.nearest(spark.createDataFrame([(x,) for x in xs], "x long"), spark.createDataFrame([(k,) for k in ks], "k long"), "x", "k", cells=16).collect()]
+    got = [(r["x"], r["nearest"]) for r in R.nearest(spark.createDataFrame([(x,) for x in xs], "x long"), spark.createDataFrame([(k,) for k in ks], "k long"), "x", "k").collect()]
     assert sorted(got) == sorted((x, min(ks, key=lambda k: (abs(k - x), k))) for x in xs)
 
 

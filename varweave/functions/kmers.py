@@ -1,4 +1,4 @@
-"""K-mers as 2-bit codes in a BIGINT (k at most 31): forward, reverse complement, positions, counts and bit tricks."""
+"""K-mers as 2-bit codes in a BIGINT (k at most 32, where the first base takes the sign bit): forward, reverse complement, positions, counts and bit tricks."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_K = 31
+MAX_K = 32
 #: A 0, C 1, G 2, T and U 3, in either case.
 CODES = np.full(256, 255, np.uint8)
 for _base, _code in zip("ACGTUacgtu", [0, 1, 2, 3, 3, 0, 1, 2, 3, 3]):
@@ -18,20 +18,26 @@ for _base, _code in zip("ACGTUacgtu", [0, 1, 2, 3, 3, 0, 1, 2, 3, 3]):
 
 
 def make(bases: str) -> int | None:
-    """The code of one k-mer, null for another base or more than 31 of them."""
+    """The code of one k-mer, null for another base or more than 32 of them."""
     codes = CODES[np.frombuffer(bases.encode(), np.uint8)].tolist() if bases else []
     if len(codes) > MAX_K or 255 in codes:
         return None
     out = 0
     for c in codes:
         out = out << 2 | c
-    return out
+    return out - (1 << 64) if out >> 63 else out
 
 
 def render(k: int, code: int) -> str:
     return "".join("ACGT"[code >> 2 * (k - 1 - i) & 3] for i in range(k))
 
 
+def rendered(k: int, code: Column) -> Column:
+    """The bases of a k-mer column."""
+    at = lambda i: F.shiftrightunsigned(code, 2 * (k - 1 - i)).bitwiseAND(F.lit(3).cast("long")).cast("int")
+    return F.concat(*[F.substring(F.lit("ACGT"), at(i) + 1, F.lit(1)) for i in range(k)])
+
+
 def windows(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start positions, forward and reverse-complement codes of all windows of k valid bases."""
     codes = CODES[data]
@@ -105,6 +111,11 @@ def kmer_counts(df: DataFrame, name: str, seq: str, k: int, strands: str = "+",
     return some if unique_names else some.groupBy("name", "strand", "kmer").agg(F.sum("count").alias("count"))
 
 
+def distinct_kmers(counts: DataFrame, name: str = "name") -> DataFrame:
+    """(name, n_kmers): how many different k-mers a name has over the strands counted."""
+    return counts.select(name, "kmer").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n_kmers"))
+
+
 def kmer_positions(df: DataFrame, name: str, seq: str, k: int) -> DataFrame:
     """(name, kmer, rc_kmer, last): every window on both strands with the zero-based position of its last base."""
     _check(k)
@@ -142,7 +153,7 @@ def hamming(x: Column, y: Column) -> Column:
 
 def reverse_complement(k: int, code: Column) -> Column:
     """The reverse complement of a k-mer: bases complemented, then exchanged pairwise from the ends."""
-    flipped = code.bitwiseXOR(F.lit(4**k - 1))
+    flipped = code.bitwiseXOR(F.lit(4**k - 1 if k < 32 else -1).cast("long"))
     return reverse(k, flipped)
 
 

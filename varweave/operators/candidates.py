@@ -65,7 +65,7 @@ def _bnd_window(table: DataFrame, n_files: int, window: int, window2: int) -> Da
         & (F.abs(F.col("lhs_end2").cast("long") - F.col("rhs_end2")) < window2)
     )
     equi = [("lhs_chrom_id", "rhs_chrom_id"), ("lhs_chrom2_id", "rhs_chrom2_id")]
-    return band_join(lhs, rhs, equi, "lhs_end", "rhs_end", window - 1, apart).select(*PAIR)
+    return band_join(lhs, rhs, equi, "lhs_end", "rhs_end", window - 1, apart, "lhs_row_id").select(*PAIR)
 
 
 def bnd_here_there_pairs(table: DataFrame, n_files: int, options: MergeOptions) -> DataFrame:
@@ -94,4 +94,4 @@ def near_pairs(table: DataFrame, n_files: int, options: MergeOptions) -> DataFra
         & length_agrees(zero("lhs_length"), zero("rhs_length"), options.length_ratio, options.length_window)
     )
     equi = [("lhs_kind", "rhs_kind"), ("lhs_chrom_id", "rhs_chrom_id")]
-    return band_join(lhs, rhs, equi, "lhs_start", "rhs_start", w, apart).select(*PAIR)
+    return band_join(lhs, rhs, equi, "lhs_start", "rhs_start", w, apart, "lhs_row_id").select(*PAIR)

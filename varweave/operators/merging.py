@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varweave.functions.exprs import append_criterion
@@ -22,9 +22,14 @@ from varweave.session import cut
 UPDATES = "orig_row_key long, new_row_key long, new_vix_set long, new_vix_count int"
 
 
+def fold_order() -> list[Column]:
+    """Fullest groups first, then by keys."""
+    return [(F.col("lhs_vix_count") + F.col("rhs_vix_count")).desc(), F.col("lhs_row_key"), F.col("rhs_row_key")]
+
+
 def pair_order(pairs: DataFrame) -> DataFrame:
     """The pairs, each once, in the order in which they are folded: fullest groups first, then by keys."""
-    return pairs.distinct().orderBy((F.col("lhs_vix_count") + F.col("rhs_vix_count")).desc(), "lhs_row_key", "rhs_row_key")
+    return pairs.distinct().orderBy(*fold_order())
 
 
 def merge_updates(pairs: DataFrame, lower_wins: bool = False) -> DataFrame:

@@ -2,40 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varweave.errors import DuplicateKey
+from varweave.operators.skew import salted_join
+from varweave.session import cut
+
+#: Rows of one cell from which its left side is dealt over tasks. Where cells are that full most pairs in them match, so
+#: what is repeated of the right side stays small against the result.
+CELL_ROWS = 20_000
 
 
-def band_join(lhs: DataFrame, rhs: DataFrame, equi: list[tuple[str, str]], lhs_value: str, rhs_value: str, width: int, residual: Column, how: str = "inner") -> DataFrame:
+def band_join(lhs: DataFrame, rhs: DataFrame, equi: list[tuple[str, str]], lhs_value: str, rhs_value: str, width: int, residual: Column, deal: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs with equal ``equi`` columns, |lhs_value - rhs_value| <= width, and the residual.
 
     Cells are width + 1 wide, so a partner lies in the same cell or a neighbour; the right side is repeated three times and
-    each pair meets in exactly one cell. Nulls in the values or equi columns match nothing. Column names of the two sides
-    must differ.
+    each pair meets in exactly one cell. Cells with many rows are split by a hash of ``deal``, a column of the left side (by default
+    its value). Nulls in the values or equi columns match nothing. Column names of the two sides must differ.
     """
     cell = lambda c: F.floor(F.col(c).cast("long") / F.lit(width + 1)).cast("long")
     left = lhs.withColumn("__lc", cell(lhs_value))
     right = rhs.withColumn("__rc", F.explode(F.array(cell(rhs_value) - 1, cell(rhs_value), cell(rhs_value) + 1)))
-    cond = F.col("__lc") == F.col("__rc")
-    for a, b in equi:
-        cond = cond & (F.col(a) == F.col(b))
-    cond = cond & (F.abs(F.col(lhs_value).cast("long") - F.col(rhs_value).cast("long")) <= width) & residual
-    return left.join(right, cond, how).drop("__lc", "__rc")
+    near = (F.abs(F.col(lhs_value).cast("long") - F.col(rhs_value).cast("long")) <= width) & residual
+    return salted_join(left, right, [*equi, ("__lc", "__rc")], F.col(deal or lhs_value), where=near, split_rows=cell_rows).drop("__lc", "__rc")
 
 
 #: The smallest cell of the interval index and the factor between its levels.
 FINEST, FACTOR, LEVELS = 1 << 9, 8, 8
 
 
-def overlap_join(lhs: DataFrame, rhs: DataFrame, lhs_eq: list[str], rhs_eq: list[str], lhs_range: tuple[str, str], rhs_range: tuple[str, str], where: Column | None = None) -> DataFrame:
+def overlap_join(lhs: DataFrame, rhs: DataFrame, lhs_eq: list[str], rhs_eq: list[str], lhs_range: tuple[str, str], rhs_range: tuple[str, str], where: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs with equal eq columns and overlapping closed intervals: l.start <= r.end and r.start <= l.end.
 
     An interval is filed in the finest level of cells of which it touches at most two. Each side's intervals also look
-    into the coarser levels of the other, so intervals of any length are repeated a bounded number of times; a pair is
-    kept in the cell of the later start only. An interval whose end lies before its start, or with a null, is left out
+    into those coarser levels that the other side uses (at most eight numbers, asked for first), so intervals of any length
+    are repeated a bounded number of times; a pair is kept in the cell of the later start only. Cells with many intervals are
+    split by a hash of the left start. An interval whose end lies before its start, or with a null, is left out
     only if it cannot satisfy the two comparisons. Column names of the two sides must differ.
     """
 
@@ -51,26 +59,26 @@ def overlap_join(lhs: DataFrame, rhs: DataFrame, lhs_eq: list[str], rhs_eq: list
     a = filed(lhs.filter(F.col(lhs_range[0]).isNotNull() & F.col(lhs_range[1]).isNotNull()), lhs_range, "l")
     b = filed(rhs.filter(F.col(rhs_range[0]).isNotNull() & F.col(rhs_range[1]).isNotNull()), rhs_range, "r")
 
+    def used(df: DataFrame, tag: str) -> list[int]:
+        return sorted(r[0] for r in df.select(f"__{tag}level").distinct().collect())
+
     def own(df: DataFrame, tag: str) -> DataFrame:
         return df.withColumn(f"__{tag}at", F.col(f"__{tag}level")).withColumn(f"__{tag}cell", F.explode(cells(f"__{tag}lo", f"__{tag}hi", F.col(f"__{tag}level"))))
 
-    def upward(df: DataFrame, tag: str, strictly: int) -> DataFrame:
+    def upward(df: DataFrame, tag: str, strictly: int, levels: list[int]) -> DataFrame:
         first = F.col(f"__{tag}level") + strictly
-        levels = F.when(first <= LEVELS - 1, F.sequence(first, F.lit(LEVELS - 1)))
-        return df.withColumn(f"__{tag}at", F.explode(levels)).withColumn(f"__{tag}cell", F.explode(cells(f"__{tag}lo", f"__{tag}hi", F.col(f"__{tag}at"))))
+        some = F.filter(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"), lambda x: x >= first)
+        return df.withColumn(f"__{tag}at", F.explode(some)).withColumn(f"__{tag}cell", F.explode(cells(f"__{tag}lo", f"__{tag}hi", F.col(f"__{tag}at"))))
 
     size = F.lit(FINEST) * F.pow(F.lit(float(FACTOR)), F.col("__lat")).cast("long")
-    cond = (F.col("__lat") == F.col("__rat")) & (F.col("__lcell") == F.col("__rcell"))
-    for x, y in zip(lhs_eq, rhs_eq):
-        cond = cond & (F.col(x) == F.col(y))
-    cond = cond & (F.col(lhs_range[0]) <= F.col(rhs_range[1])) & (F.col(rhs_range[0]) <= F.col(lhs_range[1]))
-    cond = cond & (F.col("__lcell") == F.floor(F.greatest("__llo", "__rlo") / size))
+    meet = (F.col(lhs_range[0]) <= F.col(rhs_range[1])) & (F.col(rhs_range[0]) <= F.col(lhs_range[1]))
+    meet = meet & (F.col("__lcell") == F.floor(F.greatest("__llo", "__rlo") / size))
     if where is not None:
-        cond = cond & where
+        meet = meet & where
+    on = [*zip(lhs_eq, rhs_eq), ("__lat", "__rat"), ("__lcell", "__rcell")]
     kept = [*lhs.columns, *rhs.columns]
-    fine = upward(a, "l", 0).join(own(b, "r"), cond).select(*kept)
-    coarse = own(a, "l").join(upward(b, "r", 1), cond).select(*kept)
-    return fine.unionByName(coarse)
+    join = lambda x, y: salted_join(x, y, on, F.col("__llo"), where=meet, split_rows=cell_rows).select(*kept)
+    return join(upward(a, "l", 0, used(b, "r")), own(b, "r")).unionByName(join(own(a, "l"), upward(b, "r", 1, used(a, "l"))))
 
 
 def check_unique(keys: DataFrame, key: str) -> None:
@@ -80,43 +88,50 @@ def check_unique(keys: DataFrame, key: str) -> None:
         raise DuplicateKey(str(twice[0][0]))
 
 
-def nearest(points: DataFrame, keys: DataFrame, point: str, key: str, cells: int = 256) -> DataFrame:
+def nearest(points: DataFrame, keys: DataFrame, point: str, key: str) -> DataFrame:
     """Every row of ``points`` with ``nearest``: the key closest to its point, the lower one on a tie; null without keys.
 
-    Keys must be unique. Both sides are cut into cells at quantiles of the keys; inside a cell a running maximum and
-    minimum give the neighbours, and the few cells' own extremes reach over empty stretches. Null points have no
-    nearest key; null keys are ignored. Columns of ``keys`` other than the key are ignored.
+    Keys must be unique integers. Points and keys are range-partitioned by value together, evenly wherever they lie; one pass over each
+    partition in rising order carries the key below along, one in falling order the key above, and the partitions' outermost
+    keys, two a partition, reach over the borders. Null points have no nearest key; null keys are ignored. Columns of ``keys`` other than
+    the key are ignored.
     """
     check_unique(keys, key)
-    known = keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"))
-    cuts = known.agg(F.percentile_approx("__key", [i / cells for i in range(1, cells)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # At most ``cells`` literals.
-    cell = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<long>"), lambda x: x <= c))
-    kind = dict(points.dtypes)[point]
-    both = known.select(F.lit(None).cast(kind).alias("__x"), F.col("__key"), F.col("__key").cast(kind).alias("__at"), F.lit(0).alias("__side"), *[F.lit(None).cast(t).alias(c) for c, t in points.dtypes]).unionByName(
-        points.filter(F.col(point).isNotNull()).select(F.col(point).alias("__x"), F.lit(None).cast(dict(known.dtypes)["__key"]).alias("__key"), F.col(point).alias("__at"), F.lit(1).alias("__side"), *points.columns)
-    )
-    both = both.withColumn("__cell", cell(F.col("__at")))
-    up = W.partitionBy("__cell").orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy("__cell").orderBy(F.col("__at").desc(), "__side").rowsBetween(W.unboundedPreceding, 0)
-    met = both.withColumns({"__below": F.last("__key", ignorenulls=True).over(up), "__above": F.last("__key", ignorenulls=True).over(down)}).filter("__side = 1")
-    # One row a cell, at most ``cells`` of them.
-    ends = known.groupBy(cell(F.col("__key")).alias("__c")).agg(F.min("__key").alias("lo"), F.max("__key").alias("hi")).collect()
-    ends = sorted(ends, key=lambda r: r["__c"])
-    n = len(cuts) + 1
-    before, after = [None] * n, [None] * n
-    for i in range(n):
-        lower = [r["hi"] for r in ends if r["__c"] < i]
-        higher = [r["lo"] for r in ends if r["__c"] > i]
-        before[i], after[i] = max(lower, default=None), min(higher, default=None)
-    kt = dict(known.dtypes)["__key"]
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast(kt) for x in xs]), F.col("__cell") + 1)
-    below, above = F.coalesce("__below", pick(before)), F.coalesce("__above", pick(after))
-    chosen = (
-        F.when(below.isNull(), above).when(above.isNull(), below).when(above - F.col("__x") < F.col("__x") - below, above).otherwise(below)
-    )
-    found = met.select(*points.columns, chosen.alias("nearest"))
+    kt = dict(keys.dtypes)[key]
+    own = points.columns
+    known = keys.filter(F.col(key).isNotNull()).select(*[F.lit(None).cast(t).alias(c) for c, t in points.dtypes], F.col(key).cast("long").alias("__at"), F.lit(0).alias("__side"))
+    asked = points.filter(F.col(point).isNotNull()).select(*own, F.col(point).cast("long").alias("__at"), F.lit(1).alias("__side"))
+    # A point value that very many rows share is spread by their hash.
+    both = known.unionByName(asked).repartitionByRange("__at", F.xxhash64(*own)).withColumn("__pid", F.spark_partition_id())
+    both = cut(both)
+    ends = {r["__pid"]: (r["lo"], r["hi"]) for r in both.filter("__side = 0").groupBy("__pid").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).collect()}
+    pids = sorted(ends)
+
+    def carried(name: str, rising: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, first = None, True
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, side = batch.column(batch.schema.get_field_index("__at")).to_numpy(), batch.column(batch.schema.get_field_index("__side")).to_numpy()
+                if first:
+                    pid, first = batch.column(batch.schema.get_field_index("__pid"))[0].as_py(), False
+                    outside = [p for p in pids if (p < pid if rising else p > pid)]
+                    held = (ends[outside[-1]][1] if rising else ends[outside[0]][0]) if outside else None
+                last = np.maximum.accumulate(np.where(side == 0, np.arange(len(at)), -1))
+                value = np.where(last >= 0, at[np.maximum(last, 0)], held if held is not None else 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, mask=(last < 0) & (held is None))], names=[*batch.schema.names, name])
+                if last[-1] >= 0:
+                    held = int(at[last[-1]])
+
+        return run
+
+    fields = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    up = both.sortWithinPartitions("__at", "__side").mapInArrow(carried("__below", True), f"{fields(both)}, __below long")
+    met = up.sortWithinPartitions(F.col("__at").desc(), "__side").mapInArrow(carried("__above", False), f"{fields(up)}, __above long").filter("__side = 1")
+    below, above = F.col("__below"), F.col("__above")
+    chosen = F.when(below.isNull(), above).when(above.isNull(), below).when(above - F.col("__at") < F.col("__at") - below, above).otherwise(below)
+    found = met.select(*own, chosen.cast(kt).alias("nearest"))
     return found.unionByName(points.filter(F.col(point).isNull()).withColumn("nearest", F.lit(None).cast(kt)))
 
 
