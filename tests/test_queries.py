@@ -2,11 +2,12 @@
 
 import pytest
 
+import varweave.plans.file_queries as files
 import varweave.plans.reference_queries as ref
 import varweave.plans.training_queries as tr
 from sql_check import connect, rows
 
-CASES = [(m, k) for m in (ref, tr) for k in m.queries()]
+CASES = [(m, k) for m in (ref, files, tr) for k in m.queries()]
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varweave.functions import exprs as X
@@ -21,6 +20,7 @@ from varweave.operators import distance as D
 from varweave.operators import features as FE
 from varweave.operators import merging as M
 from varweave.operators import ranges as R
+from varweave.operators.ordering import with_place
 from varweave.options import IndexOptions, MergeOptions
 from varweave.schema import decode_row_id, encode_row_id, file_bit, union_files
 from varweave.session import read
@@ -58,9 +58,10 @@ def query_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, sequence, nix): for each group its first alternate sequence, numbered by the group's key."""
+    """(name, sequence): every distinct alternate sequence of every group, named by the group's key and the sequence's digest."""
     rows = read(spark, sf_dir, "merge_rows").filter(X.is_seq(F.col("alt_seq")) & (F.length("alt_seq") >= KMER))
-    return rows.groupBy(F.concat(F.lit("f"), F.col("row_key").cast("string")).alias("name")).agg(F.min(F.upper("alt_seq")).alias("sequence"), F.min(F.col("row_key").cast("int")).alias("nix"))
+    some = rows.select("row_key", F.upper("alt_seq").alias("sequence")).distinct()
+    return some.select(F.concat_ws("_", F.concat(F.lit("f"), F.col("row_key").cast("string")), F.left(F.md5("sequence"), F.lit(12))).alias("name"), "sequence")
 
 
 def _counts(seqs: DataFrame, strands: str = "+") -> DataFrame:
@@ -160,7 +161,8 @@ def within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.pair_order(exact_indel_pairs(spark, sf_dir))
+    """The exact pairs with their place in the order of the fold."""
+    return with_place(exact_indel_pairs(spark, sf_dir).distinct(), M.fold_order())
 
 
 def merge_round_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,21 +237,34 @@ def alt_seq_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qual_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest quality of a group, not below 0; a record's quality is made of its row number."""
     g = grouped(spark, sf_dir).withColumn("qual", (F.pmod("row_num", F.lit(1000)) - 100) / F.lit(10.0))
-    return g.groupBy("row_key").agg(F.greatest(F.max("qual"), F.lit(0.0)).alias("qual"))
+    return g.groupBy("row_key").agg(A.group_quality(F.col("qual")).alias("qual"))
 
 
 def filter_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filters of a group, each once and sorted; unpaired breakends have one more."""
+    """The filters of a group, each once and sorted; one more if its first member is a breakend and no member is paired."""
     g = A.pair_breakends(grouped(spark, sf_dir))
     own = F.array(F.coalesce("criteria", F.lit("PASS")))
-    extra = F.when((F.col("kind") == "BND") & ~F.coalesce("paired_bnd", F.lit(False)), F.array(F.lit("UNPAIRED_BND"))).otherwise(F.array().cast("array<string>"))
-    return g.withColumn("f", F.explode(F.concat(own, extra))).groupBy("row_key").agg(F.concat_ws(";", F.array_sort(F.collect_set("f"))).alias("filters"))
+    filters = A.group_filters(own, F.col("kind") == "BND", F.col("paired_bnd"))
+    return g.groupBy("row_key").agg(F.concat_ws(";", filters).alias("filters"))
 
 
 def original_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identifiers of a group's records in file order."""
-    ids = F.struct("vix_ix", "row_id", F.concat(F.lit("id"), F.col("row_id").cast("string")).alias("id"))
-    return grouped(spark, sf_dir).groupBy("row_key").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(ids)), lambda x: x["id"])).alias("ids"))
+    ids = F.array(F.concat(F.lit("id"), F.col("row_id").cast("string")))
+    return grouped(spark, sf_dir).groupBy("row_key").agg(F.concat_ws(",", A.group_ids(ids)).alias("ids"))
+
+
+def paired_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any breakend of a group is paired, and the class of the last member that has one."""
+    g = A.pair_breakends(grouped(spark, sf_dir)).withColumn("class", F.when(F.pmod("row_num", F.lit(3)) == 0, F.col("kind")).otherwise(F.lit("")))
+    any_paired = F.bool_or(F.coalesce("paired_bnd", F.lit(False)))
+    return g.groupBy("row_key").agg(any_paired.alias("paired"), A.group_class(F.col("class"), F.lit("+")).alias("label"))
+
+
+def output_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every record in the order in which merged records are written."""
+    p = A.add_primary_columns(grouped(spark, sf_dir))
+    return with_place(p, ["chrom_id", "primary_start", "primary_end", "row_key", "row_id"]).select("row_id", "place")
 
 
 def merge_difference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +364,28 @@ def kmer_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("kmer", K.reverse_complement(KMER, F.col("kmer")).alias("rc"), K.reverse(KMER, F.col("kmer")).alias("reversed"))
 
 
+def kmer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each k-mer as bases."""
+    some = _counts(query_sequences(spark, sf_dir)).select("kmer").distinct()
+    return some.select("kmer", K.rendered(KMER, F.col("kmer")).alias("bases"))
+
+
+def kmer_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers of 32 bases, which fill the whole integer, with both strands and as bases."""
+    all_ = K.kmer_positions(query_sequences(spark, sf_dir), "name", "sequence", 32)
+    return all_.select("name", "last", K.rendered(32, F.col("kmer")).alias("bases"), K.rendered(32, K.reverse_complement(32, F.col("kmer"))).alias("rc_bases"), (F.col("rc_kmer") == K.reverse_complement(32, F.col("kmer"))).alias("agrees"))
+
+
+def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different k-mers each sequence has over both strands."""
+    return K.distinct_kmers(_counts(query_sequences(spark, sf_dir), "+-"))
+
+
+def kmer_lists_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As kmer_lists, of the other strand."""
+    return K.kmer_lists(query_sequences(spark, sf_dir), "sequence", KMER, reverse=True).select("name", F.concat_ws(",", F.transform("kmers", lambda x: x.cast("string"))).alias("kmers"))
+
+
 def kmer_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each k-mer against its reverse complement."""
     some = _counts(query_sequences(spark, sf_dir)).select("kmer").distinct()
@@ -376,7 +413,7 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> FE.FeatureIndex:
-    return FE.build_index(feature_sequences(spark, sf_dir), IndexOptions(k=KMER), nix="nix")
+    return FE.build_index(feature_sequences(spark, sf_dir), IndexOptions(k=KMER))
 
 
 def feature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +433,7 @@ def feature_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(FE.find_similar(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True).drop("place"))
+    return _scores(FE.find_similar(_index(spark, sf_dir), query_sequences(spark, sf_dir), unique_names=True))
 
 
 def best_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,8 +447,7 @@ def attach_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def occurrence_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the records with one place and kind each record is, in row_key order."""
-    at = W.partitionBy("chrom_id", "kind", "start").orderBy("row_key")
-    return variants(spark, sf_dir).select("row_id", (F.row_number().over(at) - 1).alias("occurrence"))
+    return variants(spark, sf_dir).select("row_id", A.occurrences(["chrom_id", "kind", "start"], "row_key").alias("occurrence"))
 
 
 _ALL = [
@@ -420,9 +456,9 @@ _ALL = [
     overlap_join, nearest, within,
     pair_order, merge_round_exact, merge_round_lower, merge_all_rounds, merge_group_sizes,
     breakend_pairing, primary_row, primary_columns, report_offsets, variant_id_text, variant_id_rep, variant_id,
-    criteria_longest, alt_seq_list, qual_max, filter_union, original_ids, merge_difference_summary, occurrence_number,
+    criteria_longest, alt_seq_list, qual_max, filter_union, original_ids, paired_groups, output_order, merge_difference_summary, occurrence_number,
     breakend_parse, breakend_flip, is_seq, infer_kind, del_end_repair, pmin_pmax, ifelse, criteria_append, length_agrees, base62, seq_digest,
-    kmer_counts, kmer_counts_stranded, kmer_lists, kmer_positions, kmer_frequency_vector, kmer_revcomp, kmer_hamming,
+    kmer_counts, kmer_counts_stranded, kmer_lists, kmer_positions, kmer_frequency_vector, kmer_revcomp, kmer_hamming, kmer_text, kmer_longest, kmer_distinct, kmer_lists_reverse,
     cosine_distance, chi_squared_distance, align, feature_index, feature_kmers, feature_rank, find_similar, best_classification, attach_classification,
 ]
 

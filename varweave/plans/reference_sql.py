@@ -36,24 +36,25 @@ def _bnd(w: int, w2: int) -> str:
 
 
 #: (name, sequence) of queries and features, and their k-mers on both strands.
-_SEQUENCES = f"""{V}, qs AS (SELECT lower(printf('%x', seq_hash)) AS name, min(alt_seq) AS sequence FROM v
+SEQUENCES = f"""{V}, qs AS (SELECT lower(printf('%x', seq_hash)) AS name, min(alt_seq) AS sequence FROM v
   WHERE kind = 'INS' AND length(alt_seq) > 0 AND seq_hash IS NOT NULL GROUP BY 1),
-fs AS (SELECT 'f' || row_key AS name, min(upper(alt_seq)) AS sequence, min(CAST(row_key AS INTEGER)) AS nix FROM merge_rows
-  WHERE regexp_full_match(alt_seq, '[ACGTNacgtn*]*') AND length(alt_seq) >= 11 GROUP BY row_key)"""
+fs AS (SELECT name, sequence, row_number() OVER (ORDER BY name) - 1 AS nix FROM (
+  SELECT DISTINCT 'f' || row_key || '_' || substr(md5(upper(alt_seq)), 1, 12) AS name, upper(alt_seq) AS sequence FROM merge_rows
+  WHERE regexp_full_match(alt_seq, '[ACGTNacgtn*]*') AND length(alt_seq) >= 11))"""
 
 
 def _code(text: str) -> str:
     return f"list_reduce(list_transform(string_split(translate({text}, 'ACGTU', '01233'), ''), lambda c: CAST(c AS BIGINT)), lambda a, b: a * 4 + b)"
 
 
-def _kmers(source: str, out: str, k: int = 11) -> str:
+def kmers_of(source: str, out: str, k: int = 11) -> str:
     return f"""{out}_w AS (SELECT name, i, upper(substr(sequence, i, {k})) AS w FROM (SELECT name, sequence, unnest(range(1, length(sequence) - {k - 2})) AS i FROM {source})),
 {out}_b AS (SELECT name, i, {_code("w")} AS kmer, {_code("reverse(translate(w, 'ACGTU', 'TGCAA'))")} AS rc FROM {out}_w WHERE regexp_full_match(w, '[ACGTU]{{{k}}}')),
 {out} AS (SELECT name, '+' AS strand, kmer, count(*) AS count FROM {out}_b GROUP BY ALL UNION ALL SELECT name, '-', rc, count(*) FROM {out}_b GROUP BY ALL)"""
 
 
-_Q = f"WITH {_SEQUENCES}, {_kmers('qs', 'q')}"
-_QF = f"{_Q}, {_kmers('fs', 's')}, qp AS (SELECT * FROM q WHERE strand = '+'), sp AS (SELECT * FROM s WHERE strand = '+')"
+_Q = f"WITH {SEQUENCES}, {kmers_of('qs', 'q')}"
+_QF = f"{_Q}, {kmers_of('fs', 's')}, qp AS (SELECT * FROM q WHERE strand = '+'), sp AS (SELECT * FROM s WHERE strand = '+')"
 _RANK = f"""{_QF}, qm AS (SELECT name, strand, sqrt(sum(count * count)) AS m FROM q GROUP BY ALL), sm AS (SELECT name, sqrt(sum(count * count)) AS m FROM sp GROUP BY ALL),
 d AS (SELECT q.name AS query_name, q.strand, sp.name, sum(q.count * sp.count) AS dot FROM q JOIN sp USING (kmer) GROUP BY ALL),
 c AS (SELECT d.query_name, d.name, d.strand, dot / (qm.m * sm.m) AS score FROM d JOIN qm ON qm.name = d.query_name AND qm.strand = d.strand JOIN sm ON sm.name = d.name),
@@ -73,6 +74,13 @@ def _allele(side: str, side2: str, chrom: str, end: str, base: str) -> str:
     return f"CASE WHEN {side} = 'Before' THEN {mate} || '{base}' ELSE '{base}' || {mate} END"
 
 
+def report_columns(source: str) -> str:
+    return f"""o AS (SELECT *, abs(start - primary_start) AS so, abs("end" - primary_end) AS eo, abs(end2 - primary_end2) AS e2 FROM {source}),
+  report AS (SELECT row_id, so AS start_offset, eo AS end_offset, e2 AS end2_offset, CASE kind WHEN 'INS' THEN so WHEN 'BND' THEN so + e2 ELSE so + eo END AS total_offset,
+  round(least(abs(length), abs(primary_length))::DOUBLE / nullif(greatest(abs(length), abs(primary_length)), 0) * 100) / 100 AS length_ratio,
+  greatest(abs(length), abs(primary_length)) - least(abs(length), abs(primary_length)) AS length_difference, alt_seq FROM o)"""
+
+
 def _hex_number(text: str) -> str:
     return f"list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS UHUGEINT)), lambda a, b: a * 16 + b)"
 
@@ -172,17 +180,15 @@ SQL = {
     "within": f"""WITH {V}, k AS (SELECT DISTINCT start::BIGINT AS place FROM v WHERE kind = 'INS'), x AS (SELECT row_id, start::BIGINT AS x FROM v WHERE kind = 'BND')
         SELECT row_id, x, place AS near_key, CAST(row_number() OVER (PARTITION BY row_id, x ORDER BY abs(place - x), place) AS INTEGER) AS rank
         FROM x JOIN k ON place > x.x - 20000 AND place < x.x + 20000""",
-    "pair_order": f"SELECT DISTINCT * FROM ({_EXACT}) ORDER BY lhs_vix_count + rhs_vix_count DESC, lhs_row_key, rhs_row_key",
+    "pair_order": f"""SELECT *, row_number() OVER (ORDER BY lhs_vix_count + rhs_vix_count DESC, lhs_row_key, rhs_row_key) - 1 AS place
+        FROM (SELECT DISTINCT * FROM ({_EXACT}))""",
     "breakend_pairing": f"""WITH {V}, b AS (SELECT row_id, vix_ix, chrom, "end", chrom2, end2 FROM v WHERE kind = 'BND'
           UNION ALL SELECT -row_id, vix_ix, chrom2, end2, chrom, "end" FROM v WHERE kind = 'BND' AND row_num % 3 = 0),
         t AS (SELECT *, concat_ws('_', chrom, "end", chrom2, end2) AS here, concat_ws('_', chrom2, end2, chrom, "end") AS there FROM b)
         SELECT row_id, EXISTS (SELECT 1 FROM t m WHERE m.vix_ix = t.vix_ix AND m.there = t.here) AS paired_bnd FROM t""",
     "primary_row": f"WITH {G} SELECT DISTINCT ON (row_key) row_key, row_id FROM g ORDER BY row_key, vix_ix, row_id",
     "primary_columns": f"WITH {P} SELECT row_id, row_key, primary_start, primary_end, primary_end2, primary_length FROM p",
-    "report_offsets": f"""WITH {P}, o AS (SELECT *, abs(start - primary_start) AS so, abs("end" - primary_end) AS eo, abs(end2 - primary_end2) AS e2 FROM p)
-        SELECT row_id, so AS start_offset, eo AS end_offset, e2 AS end2_offset, CASE kind WHEN 'INS' THEN so WHEN 'BND' THEN so + e2 ELSE so + eo END AS total_offset,
-        round(least(abs(length), abs(primary_length))::DOUBLE / nullif(greatest(abs(length), abs(primary_length)), 0) * 100) / 100 AS length_ratio,
-        greatest(abs(length), abs(primary_length)) - least(abs(length), abs(primary_length)) AS length_difference, alt_seq FROM o""",
+    "report_offsets": f"WITH {P}, {report_columns('p')} SELECT * FROM report",
     "variant_id_text": f"WITH {V} SELECT row_id, {_VID} AS vid FROM v",
     "variant_id_rep": f"""WITH {G}, f AS (SELECT DISTINCT ON (row_key) row_key, kind, {_VID} AS vid FROM g ORDER BY row_key, vix_ix, row_id)
         SELECT *, CAST(row_number() OVER (PARTITION BY vid ORDER BY row_key) - 1 AS INTEGER) AS vid_rep FROM f""",
@@ -191,9 +197,14 @@ SQL = {
     "alt_seq_list": f"WITH {G} SELECT row_key, coalesce(string_agg(alt_seq, ',' ORDER BY vix_ix, row_id), '') AS alt_seqs FROM g GROUP BY row_key",
     "qual_max": f"WITH {G} SELECT row_key, greatest(max((row_num % 1000 - 100) / 10.0), 0.0)::DOUBLE AS qual FROM g GROUP BY row_key",
     "filter_union": f"""WITH {G}, t AS (SELECT *, concat_ws('_', chrom, "end", chrom2, end2) AS here, concat_ws('_', chrom2, end2, chrom, "end") AS there FROM g),
-        n AS (SELECT row_key, coalesce(criteria, 'PASS') AS f FROM t UNION SELECT row_key, 'UNPAIRED_BND' FROM t WHERE kind = 'BND'
-          AND NOT EXISTS (SELECT 1 FROM t m WHERE m.kind = 'BND' AND m.vix_ix = t.vix_ix AND m.there = t.here))
+        b AS (SELECT *, kind = 'BND' AND EXISTS (SELECT 1 FROM t m WHERE m.kind = 'BND' AND m.vix_ix = t.vix_ix AND m.there = t.here) AS paired FROM t),
+        n AS (SELECT row_key, coalesce(criteria, 'PASS') AS f FROM b UNION SELECT row_key, 'UNPAIRED_BND' FROM b GROUP BY row_key
+          HAVING coalesce(arg_min(kind, (vix_ix, row_id)) = 'BND', false) AND NOT bool_or(paired))
         SELECT row_key, string_agg(f, ';' ORDER BY f) AS filters FROM n GROUP BY row_key""",
+    "paired_groups": f"""WITH {G}, t AS (SELECT *, concat_ws('_', chrom, "end", chrom2, end2) AS here, concat_ws('_', chrom2, end2, chrom, "end") AS there FROM g),
+        b AS (SELECT *, coalesce(kind = 'BND', false) AND EXISTS (SELECT 1 FROM t m WHERE m.kind = 'BND' AND m.vix_ix = t.vix_ix AND m.there = t.here) AS paired FROM t)
+        SELECT row_key, bool_or(paired) AS paired, coalesce(arg_max(kind || '+', (vix_ix, row_id)) FILTER (WHERE row_num % 3 = 0 AND kind <> ''), '') AS label FROM b GROUP BY row_key""",
+    "output_order": f"WITH {P} SELECT row_id, row_number() OVER (ORDER BY chrom_id, primary_start, primary_end, row_key, row_id) - 1 AS place FROM p",
     "original_ids": f"WITH {G} SELECT row_key, string_agg('id' || row_id, ',' ORDER BY vix_ix, row_id) AS ids FROM g GROUP BY row_key",
     "merge_difference_summary": f"""WITH {G} SELECT row_key, kind, count(*) AS n_members, min(start) AS min_start, max(start) AS max_start, max(start) - min(start) AS delta_start,
         min("end") AS min_end, max("end") AS max_end, max("end") - min("end") AS delta_end, min(length) AS min_length, max(length) AS max_length,
@@ -215,11 +226,16 @@ SQL = {
     "kmer_counts_stranded": f"{_Q} SELECT * FROM q",
     "kmer_lists": f"{_Q} SELECT qs.name, coalesce(string_agg(kmer, ',' ORDER BY i), '') AS kmers FROM qs LEFT JOIN q_b ON q_b.name = qs.name GROUP BY qs.name",
     "kmer_positions": f"{_Q} SELECT name, kmer, rc AS rc_kmer, CAST(i + 9 AS INTEGER) AS last FROM q_b",
-    "kmer_frequency_vector": f"""WITH {_SEQUENCES}, {_kmers("qs", "q", 3)}, a AS (SELECT name, c FROM qs, (SELECT unnest(range(64)) AS c)),
+    "kmer_frequency_vector": f"""WITH {SEQUENCES}, {kmers_of("qs", "q", 3)}, a AS (SELECT name, c FROM qs, (SELECT unnest(range(64)) AS c)),
         n AS (SELECT name, kmer, sum(count) AS n FROM q GROUP BY ALL)
         SELECT a.name, string_agg(CAST(coalesce(n, 0) AS BIGINT), ',' ORDER BY c) AS freqs FROM a LEFT JOIN n ON n.name = a.name AND n.kmer = a.c GROUP BY a.name""",
     "kmer_revcomp": f"""{_Q} SELECT DISTINCT q_b.kmer, rc, {_code("reverse(w)")} AS reversed FROM q_b JOIN q_w USING (name, i)""",
     "kmer_hamming": f"""{_Q} SELECT DISTINCT kmer, CAST(list_sum(list_transform(range(11), lambda j: CASE WHEN (kmer >> (2 * j)) & 3 <> (rc >> (2 * j)) & 3 THEN 1 ELSE 0 END)) AS INTEGER) AS ham FROM q_b""",
+    "kmer_text": f"{_Q} SELECT DISTINCT kmer, translate(w, 'U', 'T') AS bases FROM q_b JOIN q_w USING (name, i)",
+    "kmer_longest": f"""WITH {SEQUENCES}, w AS (SELECT name, i, translate(upper(substr(sequence, i, 32)), 'U', 'T') AS w FROM (SELECT name, sequence, unnest(range(1, length(sequence) - 30)) AS i FROM qs))
+        SELECT name, CAST(i + 30 AS INTEGER) AS last, w AS bases, reverse(translate(w, 'ACGT', 'TGCA')) AS rc_bases, true AS agrees FROM w WHERE regexp_full_match(w, '[ACGT]{{32}}')""",
+    "kmer_distinct": f"{_Q} SELECT name, count(DISTINCT kmer) AS n_kmers FROM q GROUP BY name",
+    "kmer_lists_reverse": f"{_Q} SELECT qs.name, coalesce(string_agg(rc, ',' ORDER BY i), '') AS kmers FROM qs LEFT JOIN q_b ON q_b.name = qs.name GROUP BY qs.name",
     "cosine_distance": f"""{_QF}, qm AS (SELECT name, sqrt(sum(count * count)) AS m FROM qp GROUP BY name), sm AS (SELECT name, sqrt(sum(count * count)) AS m FROM sp GROUP BY name),
         d AS (SELECT qp.name AS query_name, sp.name AS subject_name, CAST(sum(qp.count * sp.count) AS BIGINT) AS dot FROM qp JOIN sp USING (kmer) GROUP BY ALL)
         SELECT query_name, subject_name, dot AS distance_numerator, round(1.0 - dot / (qm.m * sm.m), 6) AS distance FROM d JOIN qm ON qm.name = query_name JOIN sm ON sm.name = subject_name""",
@@ -229,11 +245,12 @@ SQL = {
         st AS (SELECT name, count(*) AS n, coalesce(sum(count) FILTER (WHERE kmer NOT IN (SELECT kmer FROM qp)), 0) AS missing FROM sp GROUP BY name)
         SELECT query_name, subject_name, round(0.5 * (chi + qt.missing + st.missing), 6)::DOUBLE AS chi_squared, qt.n + st.n - shared AS df
         FROM c JOIN qt ON qt.name = query_name JOIN st ON st.name = subject_name""",
-    "feature_index": f"""WITH {_SEQUENCES}, {_kmers("fs", "s")}, m AS (SELECT name, sqrt(sum(count * count)) AS mags FROM s WHERE strand = '+' GROUP BY name)
+    "feature_index": f"""WITH {SEQUENCES}, {kmers_of("fs", "s")}, m AS (SELECT name, sqrt(sum(count * count)) AS mags FROM s WHERE strand = '+' GROUP BY name)
         SELECT nix, fs.name, sequence, round(coalesce(mags, 0.0), 6) AS mags FROM fs LEFT JOIN m ON m.name = fs.name""",
-    "feature_kmers": f"""WITH {_SEQUENCES}, {_kmers("fs", "s")} SELECT kmer, nix, CAST(count AS INTEGER) AS count FROM s JOIN fs ON fs.name = s.name WHERE strand = '+'""",
+    "feature_kmers": f"""WITH {SEQUENCES}, {kmers_of("fs", "s")} SELECT kmer, nix, CAST(count AS INTEGER) AS count FROM s JOIN fs ON fs.name = s.name WHERE strand = '+'""",
     "feature_rank": f"{_RANK} SELECT query_name, nix, name, round(fwd, 6) AS fwd, round(rev, 6) AS rev FROM r",
-    "find_similar": f"""{_RANK} SELECT query_name, nix, name, CASE WHEN fwd >= 0.5 THEN round(fwd, 6) ELSE 0.0 END AS fwd, CASE WHEN rev >= 0.5 THEN round(rev, 6) ELSE 0.0 END AS rev
+    "find_similar": f"""{_RANK} SELECT query_name, nix, name, CAST(row_number() OVER (PARTITION BY query_name
+          ORDER BY greatest(CASE WHEN fwd >= 0.5 THEN fwd ELSE 0.0 END, CASE WHEN rev >= 0.5 THEN rev ELSE 0.0 END) DESC, nix) AS INTEGER) AS place, CASE WHEN fwd >= 0.5 THEN round(fwd, 6) ELSE 0.0 END AS fwd, CASE WHEN rev >= 0.5 THEN round(rev, 6) ELSE 0.0 END AS rev
         FROM r WHERE fwd >= 0.5 OR rev >= 0.5""",
     "best_classification": f"{_BEST} SELECT query_name, class, strand, round(1.0 - score, 6) AS distance FROM best WHERE score > 0.5",
     "attach_classification": f"""{_BEST}, ok AS (SELECT * FROM best WHERE score > 0.5)
