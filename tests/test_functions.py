@@ -108,7 +108,7 @@ def test_alignment_by_cells(x, y):
 
 
 def test_kmer_basics():
-    assert K.make("CGAT") == 0b01100011 and K.make("CGXT") is None and K.make("A" * 32) is None and K.make("") == 0
+    assert K.make("CGAT") == 0b01100011 and K.make("CGXT") is None and K.make("A" * 33) is None and K.make("T" * 32) == -1 and K.make("A" * 32) == 0 and K.make("") == 0
     assert K.render(4, 0b01100011) == "CGAT"
 
 
