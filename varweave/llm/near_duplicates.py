@@ -55,6 +55,8 @@ TYPE_NAMES = {
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What tells the axes apart in the hashes of tokens.
+_AXIS = np.arange(1, 4, dtype=np.uint64) * _MIX2
 #: The low bit of every mark in a row's word of marks: three axes, three axes of finer cells, the block.
 _MARKS = 0x1555
 
@@ -93,7 +95,7 @@ def length_cells(length: np.ndarray, window: int, ratio: tuple[int, int]) -> np.
 def prefixes(place: np.ndarray, axis: int, cell: np.ndarray, n: int, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first token of each record on one axis, its second, and the mark of the second (0 if it is not needed)."""
     cells = cell[:, None] + np.arange(n)
-    h = _mixed(place[:, None] + cells.astype(np.uint64) * _STEP + np.uint64(axis + 1) * _MIX2)
+    h = _mixed(place[:, None] + cells.astype(np.uint64) * _STEP + _AXIS[axis])
     order = frequency[_bucket(h)].astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
     first = order.argmin(axis=1)
     rows = np.arange(len(cell))
@@ -131,7 +133,7 @@ class Plan:
         return [lo // (self.window + 1), hi // (self.window + 1), length_cells(length, self.window, self.ratio)]
 
     def token_buckets(self, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> np.ndarray:
-        hashes = [_mixed(place + c.astype(np.uint64) * _STEP + np.uint64(i + 1) * _MIX2) for i, c in enumerate(self.axes(lo, hi, length))]
+        hashes = [_mixed(place + c.astype(np.uint64) * _STEP + _AXIS[i]) for i, c in enumerate(self.axes(lo, hi, length))]
         return _bucket(np.concatenate(hashes))
 
     def coarse(self, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,6 +32,29 @@ SELECT variant_id, field, row_id FROM (
 WHERE n = 1
 """
 
+# A member's layer is the length of the longest chain of members above it, each dominating the next.
+P2_MERGED = """
+WITH RECURSIVE m0 AS (SELECT DISTINCT regexp_replace(variant_id, '^[ \\t]+|[ \\t]+$', '', 'g') AS variant_id, row_id, vix_ix, alt_seq, criteria, kind, chrom, start, length, called_at,
+    CASE WHEN regexp_full_match(alt_seq, '[ACGTNacgtn]+') THEN length(regexp_replace(alt_seq, '[Nn]', '', 'g')) ELSE 0 END AS ws,
+    coalesce((SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_split_to_array(lower(criteria), '[^a-z0-9]+')) AS w)
+              WHERE w IN ('exact', 'locus', 'here', 'there', 'near')), 0) AS wc, coalesce(epoch_us(called_at), -4611686018427387904) AS rec
+  FROM merge_rows WHERE variant_id IS NOT NULL),
+m AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM m0),
+d AS MATERIALIZED (SELECT a.id AS above, b.id AS below FROM m a JOIN m b ON a.variant_id = b.variant_id AND a.ws >= b.ws AND a.wc >= b.wc AND a.rec >= b.rec
+    AND (a.vix_ix < b.vix_ix OR a.vix_ix = b.vix_ix AND a.row_id <= b.row_id)
+    AND NOT (a.ws = b.ws AND a.wc = b.wc AND a.rec = b.rec AND a.vix_ix = b.vix_ix AND a.row_id = b.row_id)),
+c AS (SELECT id, 1 AS n FROM m UNION SELECT d.below, c.n + 1 FROM c JOIN d ON d.above = c.id),
+l AS (SELECT id, max(n) AS layer FROM c GROUP BY id),
+x AS (SELECT m.*, layer, ROW(-layer, ws + wc, rec, -vix_ix, -row_id) AS policy FROM m JOIN l USING (id))
+SELECT variant_id, arg_max(alt_seq, ROW(ws, rec, -vix_ix, -row_id)) FILTER (WHERE ws > 0) AS alt_seq, arg_max(criteria, ROW(wc, rec, -vix_ix, -row_id)) FILTER (WHERE wc > 0) AS criteria,
+  arg_max(kind, policy) FILTER (WHERE kind IS NOT NULL) AS kind, arg_max(chrom, policy) FILTER (WHERE chrom IS NOT NULL) AS chrom,
+  arg_max(start, policy) FILTER (WHERE start IS NOT NULL) AS start, arg_max(length, policy) FILTER (WHERE length IS NOT NULL) AS length,
+  arg_max(called_at, policy) FILTER (WHERE called_at IS NOT NULL) AS called_at,
+  CAST(greatest(1, min(layer) FILTER (WHERE kind IS NOT NULL), min(layer) FILTER (WHERE chrom IS NOT NULL), min(layer) FILTER (WHERE start IS NOT NULL),
+    min(layer) FILTER (WHERE length IS NOT NULL), min(layer) FILTER (WHERE called_at IS NOT NULL)) AS INTEGER) AS n_layers
+FROM x GROUP BY variant_id
+"""
+
 P4_FOUND = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT lhs_row_key AS u, rhs_row_key AS v FROM union_pairs WHERE lhs_row_key IS NOT NULL AND rhs_row_key IS NOT NULL
@@ -43,4 +66,4 @@ r AS (
 SELECT k AS row_key, min(g) AS new_row_key FROM r GROUP BY k
 """
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
+SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_merged": P2_MERGED, "p4_found": P4_FOUND}
