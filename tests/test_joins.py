@@ -158,3 +158,33 @@ def test_components_that_do_not_settle_raise(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(4)
     with pytest.raises(RuntimeError, match="settle"):
         pair_components(chain, "a", "b", max_rounds=1)
+
+
+def test_hot_cells_are_split(spark):
+    """A third of all rows in one cell: the same pairs, whatever a cell may hold."""
+    rng = random.Random(6)
+    a = [(i, "c", 500 + rng.randrange(20) if i % 3 == 0 else rng.randrange(10_000)) for i in range(150)]
+    b = [(i, "c", 500 + rng.randrange(20) if i % 3 == 0 else rng.randrange(10_000)) for i in range(150)]
+    lhs, rhs = spark.createDataFrame(a, "i long, g string, x int"), spark.createDataFrame(b, "j long, h string, y int")
+    want = sorted((i, j) for i, _, x in a for j, _, y in b if abs(x - y) <= 9)
+    for rows in (20_000, 5):
+        assert sorted((r["i"], r["j"]) for r in R.band_join(lhs, rhs, [("g", "h")], "x", "y", 9, F.lit(True), "i", rows).collect()) == want
+    lhs, rhs = lhs.withColumn("x2", F.col("x") + 700), rhs.withColumn("y2", F.col("y") + F.pmod("j", F.lit(7)) * 100)
+    want = sorted((i, j) for i, _, x in a for j, _, y in b if x <= y + j % 7 * 100 and y <= x + 700)
+    for rows in (20_000, 5):
+        assert sorted((r["i"], r["j"]) for r in R.overlap_join(lhs, rhs, ["g"], ["h"], ("x", "x2"), ("y", "y2"), cell_rows=rows).collect()) == want
+
+
+def test_nearest_of_one_hot_point(spark):
+    points = spark.createDataFrame([(i, 50) for i in range(300)] + [(i, i) for i in range(300, 400)] + [(900, None)], "i long, x int").repartition(4)
+    keys = spark.createDataFrame([(10,), (50,), (52,), (350,), (None,)], "k int")
+    got = {r["i"]: r["nearest"] for r in R.nearest(points, keys, "x", "k").collect()}
+    ks = [10, 50, 52, 350]
+    assert got == {**{i: 50 for i in range(300)}, **{i: min(ks, key=lambda k: (abs(k - i), k)) for i in range(300, 400)}, 900: None}
+
+
+def test_places(spark):
+    from varweave.operators.ordering import with_place
+
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("a"))
+    assert all(r["a"] == r["place"] for r in with_place(df, ["a"]).collect()) and with_place(df.limit(0), ["a"]).count() == 0

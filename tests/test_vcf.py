@@ -148,3 +148,41 @@ def test_command_line_parses():
 
     args = parser().parse_args(["merge", "--out", "o.vcf", "--no-force-alt-tags", "a.vcf", "b.vcf"])
     assert args.vcf == ["a.vcf", "b.vcf"] and args.force_alt_tags is False
+    args = parser().parse_args("merge -o o.vcf --unwanted-info A,B -u C --fill-in-refs false --write-merge-table t --annotate-insertions ix --force-alt-tags=false --threads 2 a.vcf".split())
+    assert args.unwanted_info == ["A", "B", "C"] and args.fill_in_refs is False and args.merge_table == "t" and args.annotation_index == "ix" and args.threads == 2
+    assert parser().parse_args("merge -o o a.vcf --force-alt-tags".split()).force_alt_tags is True
+    args = parser().parse_args("index-features --features f.fa --out ix --k 9 --pattern a+ --name $1".split())
+    assert (args.named_fasta, args.k, args.name_pattern, args.name_replacement) == ("f.fa", 9, "a+", "$1")
+    args = parser().parse_args("find-similar --features ix --k 11 --vcf q.vcf".split())
+    assert (args.index, args.query_vcf, args.query) == ("ix", "q.vcf", None)
+
+
+def test_block_gzip(spark, tmp_path):
+    """Every block is a gzip member that carries its own size, and the file ends with the empty block."""
+    from varweave.sources.storage import END, block_gzip, open_text, write_sorted
+
+    text = "".join(f"line {i} {i * i}\n" for i in range(20_000))
+    data = block_gzip(text.encode()) + END
+    at = sizes = 0
+    while at < len(data):
+        assert data[at : at + 4] == b"\x1f\x8b\x08\x04" and data[at + 12 : at + 14] == b"BC"
+        at += int.from_bytes(data[at + 16 : at + 18], "little") + 1
+        sizes += 1
+    assert at == len(data) and sizes > 4 and gzip.decompress(data).decode() == text
+    lines = spark.range(0, 30_000, 1, 5).selectExpr("concat('row ', lpad(id, 6, '0')) AS line").orderBy("line")
+    for name in ("x.vcf", "x.vcf.gz"):
+        path = str(tmp_path / name)
+        write_sorted(lines, ["head"], path)
+        with open_text(path) as f:
+            got = f.read().split("\n")
+        assert got == ["head", *[f"row {i:06d}" for i in range(30_000)], ""]
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+
+
+def test_hash_of_symbolic_insertions(spark, tmp_path):
+    """A tag is hashed as it stands in the file, brackets included."""
+    from varweave.functions.exprs import digest56
+
+    path = vcf(tmp_path / "tag.vcf", "S", [("chr1", 5, "x", "A", "<INS:ME>", 1, "PASS", "SVTYPE=INS;SVLEN=3", "GT", "0/1")])
+    row = read_vcfs(spark, [path])[0].first()
+    assert row["seq_hash"] == digest56("<INS:ME>") and row["alt_seq"] is None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from varweave.operators.eager import eager_join_aggregate, heavy_keys
 from varweave.operators.quarantine import load_variant_lines, valid_variants
 from varweave.operators.schema_drift import consistent_table, schema_changes, wide_table
+from varweave.plans import drift_sql
 from varweave.session import read
 
 HEAVY_SHARE = 0.04
@@ -100,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN x[9] IS NOT NULL AND (x[5] IS DISTINCT FROM 'INS' OR NOT regexp_full_match(x[9], '[ACGTNacgtn*]+')) THEN 'alt_seq'
             END AS reason FROM c)"""
     return {
+        **drift_sql.SQL,
         "p3_found": f"{checked} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
         "p3_loaded": f"""{checked} SELECT line_id, TRY_CAST(x[1] AS BIGINT) AS row_num, x[2] AS chrom, TRY_CAST(x[3] AS INTEGER) AS start,
             TRY_CAST(x[4] AS INTEGER) AS "end", x[5] AS kind, TRY_CAST(x[6] AS INTEGER) AS length, x[7] AS chrom2,
