@@ -123,7 +123,7 @@ def test_kmer_tables(spark):
     vec = {r["name"]: r["freqs"] for r in K.frequency_vectors(df, "name", "seq", 2).collect()}
     assert len(vec["a"]) == 16 and vec["a"][K.make("CG")] == 3 and sum(vec["b"]) == 1 and sum(vec["c"]) == 0
     with pytest.raises(ValueError):
-        K.kmer_counts(df, "name", "seq", 32)
+        K.kmer_counts(df, "name", "seq", 33)
 
 
 def test_kmer_bits(spark):
