@@ -10,8 +10,8 @@ QUOTED = r'''"(?:[^"\\]|\\.)*"'''
 _FIELDS = rf"""
 h AS (SELECT file_id, series, written_at, header, first_info FROM vcf_reader WHERE file_id IS NOT NULL AND series IS NOT NULL AND length(trim(header)) > 0),
 hd AS (SELECT DISTINCT ON (series, file_id) * FROM h ORDER BY series, file_id, written_at),
-ln AS (SELECT file_id, series, written_at, i, trim(line) AS line FROM (SELECT file_id, series, written_at, unnest(string_split(header, chr(10))) AS line, generate_subscripts(string_split(header, chr(10)), 1) AS i FROM hd)),
-la AS (SELECT *, regexp_extract(line, '^##(INFO|FORMAT)=<', 1) AS section, regexp_replace(line, '{QUOTED}', '', 'g') AS bare FROM ln WHERE regexp_matches(line, '^##(INFO|FORMAT)=<.*>$')),
+ln AS (SELECT file_id, series, written_at, i, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT file_id, series, written_at, unnest(string_split(header, chr(10))) AS line, generate_subscripts(string_split(header, chr(10)), 1) AS i FROM hd)),
+la AS (SELECT *, regexp_extract(line, '^##(INFO|FORMAT)=<', 1) AS section, regexp_replace(regexp_replace(line, '(ID|Number|Type)\s*=\s*"([^"]*)"', '\1=\2', 'g'), '{QUOTED}', '', 'g') AS bare FROM ln WHERE regexp_matches(line, '^##(INFO|FORMAT)=<.*>$')),
 fd AS (SELECT file_id, series, written_at, i, section, trim(regexp_extract(bare, '[<,]\s*ID\s*=([^,>]*)', 1)) AS id, trim(regexp_extract(bare, '[<,]\s*Number\s*=([^,>]*)', 1)) AS number,
   lower(trim(regexp_extract(bare, '[<,]\s*Type\s*=([^,>]*)', 1))) AS type, lower(regexp_replace(regexp_extract(line, 'Description\s*=\s*({QUOTED})', 1), '[^A-Za-z0-9]', '', 'g')) AS said FROM la),
 f AS (SELECT DISTINCT ON (series, file_id, section, id) * FROM fd WHERE id <> '' ORDER BY series, file_id, section, id, i),
