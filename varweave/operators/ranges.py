@@ -56,8 +56,9 @@ def overlap_join(lhs: DataFrame, rhs: DataFrame, lhs_eq: list[str], rhs_eq: list
         size = F.lit(FINEST) * F.pow(F.lit(float(FACTOR)), level).cast("long")
         return F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
 
-    a = filed(lhs.filter(F.col(lhs_range[0]).isNotNull() & F.col(lhs_range[1]).isNotNull()), lhs_range, "l")
-    b = filed(rhs.filter(F.col(rhs_range[0]).isNotNull() & F.col(rhs_range[1]).isNotNull()), rhs_range, "r")
+    # Written once: both are read for their levels, for their hot cells and for each of the two joins.
+    a = cut(filed(lhs.filter(F.col(lhs_range[0]).isNotNull() & F.col(lhs_range[1]).isNotNull()), lhs_range, "l"))
+    b = cut(filed(rhs.filter(F.col(rhs_range[0]).isNotNull() & F.col(rhs_range[1]).isNotNull()), rhs_range, "r"))
 
     def used(df: DataFrame, tag: str) -> list[int]:
         return sorted(r[0] for r in df.select(f"__{tag}level").distinct().collect())
