@@ -142,3 +142,12 @@ def test_options_and_errors():
     assert not MergeOptions().fills and MergeOptions(reference="x.fa").fills
     e = E.BadChrom("chr9").within("variant chr9:5").within("file a.vcf")
     assert str(e) == "file a.vcf: variant chr9:5: undeclared contig: chr9" and isinstance(e, E.BadChrom)
+
+
+def test_align_many_as_one():
+    from varweave.functions.align import align_score, align_scores
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 1, 2, 7, 8, 30, 61])))
+    pairs = [(word(), word()) for _ in range(200)] + [("ACGT" * 9, "ACGT" * 9)]
+    assert align_scores(*map(list, zip(*pairs))).tolist() == [align_score(a, b) for a, b in pairs]

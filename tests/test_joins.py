@@ -151,6 +151,8 @@ def test_components(spark):
             parent[y] = x
     got = {r["key"]: r["component"] for r in pair_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {k: find(k) for k in parent}
+    one = pair_components(spark.createDataFrame(edges, "a long, b long").coalesce(1), "a", "b").collect()
+    assert {r["key"]: r["component"] for r in one} == got and len(one) == len(got)
     assert pair_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 

@@ -43,6 +43,9 @@ def pair_components(pairs: DataFrame, lhs: str, rhs: str, max_rounds: int = 64)
     neighbours costs one representative per task. Pairs with a null are ignored. Raises if it does not settle.
     """
     edges = pairs.filter(F.col(lhs).isNotNull() & F.col(rhs).isNotNull()).select(F.col(lhs).cast("long").alias("u"), F.col(rhs).cast("long").alias("v"))
+    if edges.rdd.getNumPartitions() == 1:
+        # No other partition has representatives to exchange.
+        return _forests(edges).select(F.col("v").alias("key"), F.col("rep").alias("component"))
     levels: list[DataFrame] = []
     for _ in range(max_rounds):
         met = cut(_forests(edges).groupBy("v").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("reps")))
