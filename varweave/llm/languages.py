@@ -7,7 +7,7 @@ second path over their votes gives the languages. Both work on hashed tokens, ne
 of single lines. The language with the most text is the main one, and prose inside a file of code belongs to it.
 
 The classifiers are fitted on a bounded sample of documents whose label and file name extension agree
-(``TRAIN_PER_LANGUAGE`` a language, none longer than ``TRAIN_MAX_CHARS``, from at most ``TRAIN_FILES`` files of the table);
+(``TRAIN_PER_LANGUAGE`` a language, none longer than ``TRAIN_MAX_CHARS``, from all files of the table);
 every document is classified over its whole text.
 """
 
@@ -51,7 +51,6 @@ LABEL_SHARE, LABEL_DOCUMENTS = 0.6, 20
 
 TRAIN_PER_LANGUAGE = 150
 TRAIN_MAX_CHARS = 20_000
-TRAIN_FILES = 64
 #: Windows of lines taken from each training document, of 1 to WINDOW_LINES lines.
 WINDOWS_PER_DOC, WINDOW_LINES = 12, 6
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-5
@@ -447,15 +446,11 @@ def classify(texts: list[str], w: np.ndarray, least: float = MIN_CONFIDENCE) ->
     return out
 
 
-def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_chars: int = TRAIN_MAX_CHARS, files: int = TRAIN_FILES) -> tuple[list[str], list[str]]:
+def training_sample(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_chars: int = TRAIN_MAX_CHARS) -> tuple[list[str], list[str]]:
     """At most ``per_language`` texts a language whose label and extension agree, chosen by a hash of the id.
 
-    Of a table of more than ``files`` files so many are read, in the order of a hash of their paths.
+    The whole table is drawn from: files may hold one language each, so that some of them say nothing of the others.
     """
-    paths = documents.inputFiles()
-    if len(paths) > files:
-        chosen = sorted(paths, key=lambda p: hashlib.sha1(p.encode()).digest())[:files]
-        documents = documents.filter(F.col("_metadata.file_path").isin(chosen))
     agree = documents.select("doc_id", "text", language_of_label(F.col("lang")).alias("label"), language_of_path(F.col("path")).alias("ext")).filter(
         F.col("doc_id").isNotNull() & (F.col("label") == F.col("ext"))
     )
