@@ -186,3 +186,14 @@ def test_hash_of_symbolic_insertions(spark, tmp_path):
     path = vcf(tmp_path / "tag.vcf", "S", [("chr1", 5, "x", "A", "<INS:ME>", 1, "PASS", "SVTYPE=INS;SVLEN=3", "GT", "0/1")])
     row = read_vcfs(spark, [path])[0].first()
     assert row["seq_hash"] == digest56("<INS:ME>") and row["alt_seq"] is None
+
+
+def test_similar_to_fasta_joins_no_kmers(spark, tmp_path):
+    """Names that occur twice are one query; no shared k-mer is a row of a join."""
+    features, asked = tmp_path / "features.fa", tmp_path / "asked.fa"
+    features.write_text(">f1\nACGTTGCATGCAAGTCC\n>f2\nTTTTGGGGCCCCAAAAT\n")
+    asked.write_text(">q\nACGTTGCATGC\n>q\nATGCAAGTCC\n>r\nGGACTTGCATGCAACGT\n")
+    MV.index_fasta(spark, str(features), str(tmp_path / "index"), IndexOptions(k=7))
+    found = MV.similar_features(spark, str(tmp_path / "index"), fasta=str(asked))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_name"], r["name"], r["place"], round(r["rev"], 6)) for r in found.collect()] == [("q", "f1", 1, 0.0), ("r", "f1", 1, 1.0)]
