@@ -190,3 +190,20 @@ def test_places(spark):
 
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("a"))
     assert all(r["a"] == r["place"] for r in with_place(df, ["a"]).collect()) and with_place(df.limit(0), ["a"]).count() == 0
+
+
+def test_within_by_brute_force(spark):
+    """Keys on both sides of the partitions' borders, a point of many rows, ties; pairs are made without a join or a window."""
+    rng = random.Random(12)
+    ks = sorted(rng.sample(range(-200, 3000), 500))
+    xs = [(i, rng.randrange(-260, 3100)) for i in range(150)] + [(i, 700) for i in range(150, 300)] + [(300, None), (3, 9), (3, 9)]
+    points = spark.createDataFrame(xs, "i int, x int").repartition(4)
+    keys = spark.createDataFrame([(k,) for k in ks] + [(None,)], "k int")
+    for d in (1, 40, 5000):
+        df = R.within(points, keys, "x", "k", d)
+        want = [(i, x, k, n + 1) for i, x in set(xs) if x is not None for n, k in enumerate(sorted((k for k in ks if abs(k - x) < d), key=lambda k: (abs(k - x), k)))]
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    assert df.dtypes == [("i", "int"), ("x", "int"), ("near_key", "int"), ("rank", "int")]
+    assert R.within(points.filter("x IS NULL"), keys, "x", "k", 40).count() == 0

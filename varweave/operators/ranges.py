@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varweave.errors import DuplicateKey
@@ -17,6 +16,8 @@ from varweave.session import cut
 #: Rows of one cell from which its left side is dealt over tasks. Where cells are that full most pairs in them match, so
 #: what is repeated of the right side stays small against the result.
 CELL_ROWS = 20_000
+#: Pairs that within makes at once.
+PAIRS = 1 << 18
 
 
 def band_join(lhs: DataFrame, rhs: DataFrame, equi: list[tuple[str, str]], lhs_value: str, rhs_value: str, width: int, residual: Column, deal: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -139,12 +140,61 @@ def nearest(points: DataFrame, keys: DataFrame, point: str, key: str) -> DataFra
 def within(points: DataFrame, keys: DataFrame, point: str, key: str, distance: int) -> DataFrame:
     """(point columns, key, rank): the unique keys closer than ``distance`` to each point, nearest first, the lower on a tie.
 
-    A point that occurs in several rows gets its keys once per distinct row.
+    A point that occurs in several rows gets its keys once per distinct row. Points are range-partitioned by value, evenly wherever
+    they lie, and each key goes to the partitions whose points it may be near, by their bounds, two numbers a partition. A task
+    holds its keys sorted and ranks them point by point, so no pair is shuffled.
     """
     check_unique(keys, key)
-    lhs = points.distinct()
-    rhs = keys.select(F.col(key).alias("__key"))
-    met = band_join(lhs, rhs, [], point, "__key", distance - 1, F.lit(True))
-    far = F.abs(F.col("__key") - F.col(point))
-    order = W.partitionBy(*points.columns).orderBy(far, "__key")
-    return met.select(*points.columns, F.col("__key").alias("near_key"), F.row_number().over(order).alias("rank"))
+    kt = dict(keys.dtypes)[key]
+    own = points.columns
+    some = points.filter(F.col(point).isNotNull()).distinct().withColumn("__at", F.col(point).cast("long"))
+    # A point value that very many rows share is spread by their hash.
+    laid = cut(some.repartitionByRange("__at", F.xxhash64(*own)).withColumn("__pid", F.spark_partition_id()))
+    ends = sorted((r["__pid"], r["lo"], r["hi"]) for r in laid.groupBy("__pid").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).collect())
+    pids, lows, highs = (np.array([e[i] for e in ends], np.int64) for i in range(3))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Partitions rise by their points, so those that a key may be near follow each other.
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            first, last = np.searchsorted(highs, at - distance, "right"), np.searchsorted(lows, at + distance, "left")
+            n = np.maximum(last - first, 0)
+            each = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, n)), pa.array(pids[each].astype(np.int32))], names=["__at", "__pid"])
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[np.ndarray] = []
+        sorted_keys = None
+        for batch in batches:
+            at, side = batch.column(len(own)).to_numpy(), batch.column(len(own) + 1).to_numpy()
+            split = int(np.searchsorted(side, 1))  # keys come first
+            if split:
+                known.append(at[:split])
+            if split == batch.num_rows:
+                continue
+            if sorted_keys is None:
+                sorted_keys = np.concatenate(known) if known else np.empty(0, np.int64)
+            at, rows = at[split:], batch.slice(split).select(own)
+            first, last = np.searchsorted(sorted_keys, at - distance, "right"), np.searchsorted(sorted_keys, at + distance, "left")
+            total = np.r_[0, np.cumsum(last - first)]
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
+                n = (last - first)[a:b]
+                if total[b] > total[a]:
+                    owner, begins = np.repeat(np.arange(a, b), n), np.repeat(np.cumsum(n) - n, n)
+                    place = np.arange(len(owner)) - begins
+                    found = sorted_keys[place + np.repeat(first[a:b], n)]
+                    # The lower key first, and by distance and owner, whose sort is stable.
+                    found = found[np.lexsort((np.abs(found - at[owner]), owner))]
+                    met = rows.take(pa.array(owner))
+                    yield pa.RecordBatch.from_arrays([*met.columns, pa.array(found), pa.array((place + 1).astype(np.int32))], names=[*own, "near_key", "rank"])
+                a = b
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    rhs = keys.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__at")).mapInArrow(near, "__at long, __pid int")
+    rhs = rhs.select(*[F.lit(None).cast(t).alias(c) for c, t in points.dtypes], "__at", F.lit(0).alias("__side"), "__pid")
+    both = rhs.unionByName(laid.select(*own, "__at", F.lit(1).alias("__side"), "__pid"))
+    parts = int(pids.max(initial=0)) + 1
+    met = both.repartitionById(parts, F.col("__pid")).drop("__pid").sortWithinPartitions("__side", "__at")
+    return met.mapInArrow(ranked, f"{fields}, near_key long, rank int").withColumn("near_key", F.col("near_key").cast(kt))
